@@ -16,8 +16,8 @@ Defined results. Texts that are equal byte by byte are one text, that of the
 smallest doc_id. Null and empty texts hold no tokens and aren't used. Null or
 blank lang is 'und'; lang is compared by its first part without case. A source
 without target gets nothing; a target without texts is a shortage. If all
-sources together can't give the total, each is used to its limit. The text at
-the end of a prefix is taken if at least half of it lies in the budget.
+sources together can't give the total, each is used to its limit. The last text
+of a source is taken if at least half of it lies in the budget.
 """
 
 from __future__ import annotations
@@ -68,6 +68,25 @@ def share_out(nodes: DataFrame, budgets: DataFrame, parent: Sequence[str]) -> Da
     return out.withColumn("budget", F.when(F.col("use").isNull(), F.col("capacity")).otherwise(F.least("capacity", F.col("use") * F.col("weight")))).drop("use")
 
 
+def _prefix(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, doc_id, tokens, turn, rest) with ``taken``: whether the row lies in the first ``rest`` tokens
+    of its group by turn, and ``fits``: how many of a row's tokens still do where it begins inside and ends outside.
+    """
+    sliced = rows.withColumn("slice", F.shiftrightunsigned("turn", 52).cast("int"))
+    sums = sliced.groupBy(*keys, "slice").agg(F.sum("tokens").alias("n"))
+    w = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = sums.withColumn("upto", F.sum("n").over(w)).withColumn("from", F.col("upto") - F.col("n")).drop("n")
+    marked = sliced.join(marks, [*keys, "slice"])
+    whole = F.col("upto") <= F.col("rest")
+    edge = ~whole & (F.col("from") < F.col("rest"))
+    inside = Window.partitionBy(*keys, "slice").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    plain = marked.filter(~edge).withColumn("taken", whole).withColumn("fits", F.lit(0.0))
+    start = F.col("from") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))
+    near = marked.filter(edge).withColumn("start", start).withColumn("taken", F.col("start") + F.col("tokens") <= F.col("rest"))
+    near = near.withColumn("fits", F.when(F.col("taken"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (F.col("rest") - F.col("start")).cast("double")))).drop("start")
+    return plain.unionByName(near).drop("slice", "from", "upto")
+
+
 def mix(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None, short_weight: float = 0.1, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, source, lang, host, tokens, copies, uses), and the budgets per source."""
     texts = cut(texts)
@@ -93,18 +112,14 @@ def mix(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     plan = leaves.join(budgets, list(LEVELS))
     full = F.least(F.floor(F.col("budget") / F.col("held") + 1e-9), F.col("repeats")).cast("int")
     plan = cut(plan.withColumn("epochs", full).withColumn("rest", F.greatest(F.lit(0.0), F.col("budget") - F.col("epochs") * F.col("held"))).select(*LEVELS, "epochs", F.when(F.col("epochs") >= F.col("repeats"), F.lit(0.0)).otherwise(F.col("rest")).alias("rest")))
-    ordered = texts.join(plan, list(LEVELS)).withColumn("turn", F.xxhash64("doc_id", "epochs", F.lit(seed))).withColumn("slice", F.shiftrightunsigned("turn", 52).cast("int"))
-    sums = ordered.groupBy(*LEVELS, "slice").agg(F.sum("tokens").alias("n"))
-    w = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = sums.withColumn("upto", F.sum("n").over(w)).withColumn("from", F.col("upto") - F.col("n")).drop("n")
-    marked = ordered.join(marks, [*LEVELS, "slice"])
-    inside = Window.partitionBy(*LEVELS, "slice").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("upto") <= F.col("rest")
-    edge = ~below & (F.col("from") < F.col("rest"))
-    sure = marked.filter(~edge).withColumn("more", F.when(below, 1).otherwise(0))
-    open_ = marked.filter(edge).withColumn("start", F.col("from") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    open_ = open_.withColumn("more", (F.col("start") + F.col("tokens") / 2 <= F.col("rest")).cast("int")).drop("start")
-    chosen = sure.unionByName(open_).withColumn("uses", F.col("epochs") + F.col("more")).filter("uses > 0")
+    rows = texts.join(plan, list(LEVELS)).withColumn("turn", F.xxhash64("doc_id", "epochs", F.lit(seed)))
+    dealt = cut(_prefix(rows, list(LEVELS)))
+    edge = dealt.filter(~F.col("taken") & (F.col("fits") > 0)).drop("taken")
+    due = edge.groupBy("source").agg(F.sum("fits").alias("rest"))
+    again = _prefix(edge.drop("rest", "fits").join(due, "source"), ["source"])
+    late = again.withColumn("taken", F.col("taken") | (F.col("fits") * 2 >= F.col("tokens")))
+    settled = dealt.filter(F.col("taken") | (F.col("fits") <= 0))
+    chosen = settled.drop("fits", "rest").unionByName(late.drop("fits", "rest")).withColumn("uses", F.col("epochs") + F.col("taken").cast("int")).filter("uses > 0")
     return chosen.select("doc_id", *LEVELS, "tokens", "copies", "uses"), by_source
 
 
