@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditmill.llm import format_duplicates, mixing, packing, percentiles, residue
+from auditmill.llm import format_duplicates, mixing, moderation, packing, percentiles, residue
 from auditmill.session import table
 
 TIMINGS = ("response_ms", "ttfb_ms")
@@ -84,7 +84,25 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(cut(chosen), texts, targets, by_source)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p3_found, p3_collapsed, p6_found, p6_clean, p8_packed, p8_fill, p9_mix, p9_shares)}
+def _moderated(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.scored(table(spark, d, "documents"), table(spark, d, "moderation_samples"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _moderated(spark, d).filter(F.col("score") >= moderation.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _moderated(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents of each source are unwanted."""
+    return moderation.rates(_moderated(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p3_found, p3_collapsed, p6_found, p6_clean, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _SAME = """
         WITH r AS (SELECT export_id, list_transform([json_extract_string(payload, '$.title'), json_extract_string(payload, '$.metaDescription'), json_extract_string(payload, '$.h1')],
