@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from auditmill.plans import training_data
+from auditmill.plans import site_audit, training_data
 
-_MODULES = [training_data]
+_MODULES = [training_data, site_audit]
 
 
 def queries() -> dict:
