@@ -2,7 +2,8 @@
 
 A dialect is a set of separators, with or without quoting. Every distinct field
 is parsed in all dialects its characters allow; those without quoting are tried
-where a quote stays unclosed. Over the whole corpus each
+where a quote stays unclosed. A field counts once however many rows hold it, so
+a frequent pair of values isn't taken for one value. Over the whole corpus each
 value gets a code length: the bits of its share plus its spelling, spread over
 its uses. A field takes the dialect with the fewest bits; the lengths are then
 counted again from these choices and the choice is made a second time. Values
@@ -122,12 +123,12 @@ def _dialects(rules: Mapping[str, FieldRule]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for field, raw, n in zip(pdf["field_name"], pdf["raw"], pdf["n"], strict=True):
+            for field, raw in zip(pdf["field_name"], pdf["raw"], strict=True):
                 found = candidates(raw, rules[field])
                 for name, values in found.items():
                     extra = 2.0 * len(name) + sum(STRAY_QUOTE_BITS * ((v[0] in QUOTED) + (v[-1] in QUOTED)) for v in values)
-                    rows.append((field, raw, n, name, values, extra, 1.0 / len(found)))
-            yield pd.DataFrame(rows, columns=["field_name", "raw", "n", "dialect", "pieces", "extra", "share"])
+                    rows.append((field, raw, name, values, extra, 1.0 / len(found)))
+            yield pd.DataFrame(rows, columns=["field_name", "raw", "dialect", "pieces", "extra", "share"])
 
     return run
 
@@ -135,7 +136,7 @@ def _dialects(rules: Mapping[str, FieldRule]):
 def _choose(cands: DataFrame, weight: str) -> DataFrame:
     """The cheapest candidate of each field under code lengths counted with ``weight``."""
     piece = F.explode("pieces").alias("piece")
-    counts = cut(cands.select("field_name", piece, (F.col("n") * F.col(weight)).alias("w")).filter("w > 0").groupBy("field_name", "piece").agg(F.sum("w").alias("c")))
+    counts = cut(cands.select("field_name", piece, F.col(weight).alias("w")).filter("w > 0").groupBy("field_name", "piece").agg(F.sum("w").alias("c")))
     totals = F.broadcast(counts.groupBy("field_name").agg(F.sum("c").alias("total")))
     spelled = (8.0 * F.length("piece") + 8.0) / F.greatest(F.col("c"), F.lit(1.0))
     coded = counts.join(totals, "field_name").select("field_name", "piece", (F.log2(F.col("total") / F.col("c")) + spelled).alias("bits"), "c")
@@ -151,8 +152,8 @@ def _choose(cands: DataFrame, weight: str) -> DataFrame:
 
 def learn_dialects(fields: DataFrame, rules: Mapping[str, FieldRule]) -> DataFrame:
     """(field_name, raw, dialect, pieces) for every distinct ``raw`` of ``fields``."""
-    distinct = fields.filter(F.col("raw").isNotNull()).groupBy("field_name", "raw").agg(F.count(F.lit(1)).alias("n"))
-    schema = "field_name string, raw string, n long, dialect string, pieces array<string>, extra double, share double"
+    distinct = fields.filter(F.col("raw").isNotNull()).select("field_name", "raw").distinct()
+    schema = "field_name string, raw string, dialect string, pieces array<string>, extra double, share double"
     cands = cut(distinct.mapInPandas(_dialects(dict(rules)), schema).withColumn("cid", F.monotonically_increasing_id()))
     first = cut(_choose(cands, "share").select("cid", F.lit(1.0).alias("won")))
     again = cut(cands.join(first, "cid", "left").withColumn("won", F.coalesce("won", F.lit(0.0))))
