@@ -58,17 +58,17 @@ def _walk(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
         if state.isEmpty():
             state = None
             break
-    return reduce(DataFrame.unionByName, parts), state
+    return cut(reduce(DataFrame.unionByName, parts)), None if state is None else cut(state)
 
 
 def _double(graph: DataFrame) -> DataFrame:
     """``graph`` (id, ptr, hops, mn) with each ptr carried to its end; ``open`` where there is none.
 
-    For open rows ptr lies on a cycle and mn is the smallest id seen on more
-    than a full round.
+    A node that jumps to itself is an end. For open rows ptr lies on a cycle and
+    mn is the smallest id seen on more than a full round.
     """
-    now = cut(graph.withColumn("open", F.lit(True)))
-    reach, left = 1, now.count()
+    now = cut(graph.withColumn("open", F.col("ptr") != F.col("id")))
+    reach, left = 1, now.filter("open").count()
     while left:
         far = now.select(F.col("id").alias("f_id"), F.col("ptr").alias("f_ptr"), F.col("hops").alias("f_hops"), F.col("mn").alias("f_mn"), F.col("open").alias("f_open"))
         at = F.when(F.col("open"), F.col("ptr")).otherwise(F.col("id"))
@@ -108,9 +108,9 @@ def _solve(edges: DataFrame, every: int, limit: int) -> tuple[DataFrame, DataFra
             )
         )
         graph = graph.unionByName(more.select("id", "ptr", "hops", "mn"))
-        jumps = jumps.unionByName(more)
+        jumps = cut(jumps.unionByName(more))
     solved = _double(graph)
-    loops = solved.filter("open")
+    loops = solved.filter("open OR ptr = id")
     on_loop = loops.select(F.col("ptr").alias("id")).distinct().join(loops.select("id", "mn"), "id")
     around = on_loop.join(jumps.select("id", "path"), "id").select(F.explode("path").alias("id"), "mn").distinct()
     alone = done.filter(F.col("kind") == "cycle").select("id", "mn")
@@ -143,7 +143,7 @@ def _trees(nodes: DataFrame, id_col: str, parent_col: str, every: int, limit: in
         F.when(on_ring, F.lit(0)).otherwise(F.col("hops")).cast("int").alias("depth"),
         on_ring.cast("int").alias("is_cycle"),
     )
-    jumps = jumps.select("id", "ptr", "path").join(first.filter(~tail & ~on_ring).select("id"), "id", "left_semi")
+    jumps = jumps.join(first.filter(~tail & ~on_ring).select("id"), "id", "left_semi").select("id", "ptr", "path")
     tails = first.filter(tail).select("id")
     if tails.isEmpty():
         return settled, jumps
@@ -153,12 +153,12 @@ def _trees(nodes: DataFrame, id_col: str, parent_col: str, every: int, limit: in
     return settled.unionByName(behind), jumps.unionByName(more.select("id", "ptr", "path"))
 
 
-def trees(nodes: DataFrame, id_col: str = "id", parent_col: str = "redirect_to_id", every: int = 8, limit: int = 24) -> DataFrame:
+def trees(nodes: DataFrame, id_col: str = "id", parent_col: str = "redirect_to_id", every: int = 8, limit: int = 12) -> DataFrame:
     """(id, root_id, depth, is_cycle) of every node that has a parent."""
     return _trees(nodes, id_col, parent_col, every, limit)[0]
 
 
-def paths(nodes: DataFrame, id_col: str = "id", parent_col: str = "redirect_to_id", every: int = 8, limit: int = 24) -> DataFrame:
+def paths(nodes: DataFrame, id_col: str = "id", parent_col: str = "redirect_to_id", every: int = 8, limit: int = 12) -> DataFrame:
     """``trees`` with ``path``: the ids from the node to its root, or to the first id on its cycle.
 
     The paths of the small graph are joined by doubling; every other node then
