@@ -33,9 +33,10 @@ from auditmill.session import cut
 BUCKETS = 1 << 20
 ROUNDS = 6
 PRIOR = 0.05
-SMOOTHING = 0.1
+# Added to every feature's rate among positives and among others, so that learning is alike at every size.
+SMOOTHING = (8e-5, 2.5e-6)
 # How far an unlabelled passage may count as positive while the model is learned.
-TRUST = 0.03
+TRUST = 0.05
 
 # What a template's slot is called.
 SLOT = (
@@ -207,15 +208,15 @@ def _maximize(counted: pd.DataFrame) -> tuple[np.ndarray, float]:
     pos, neg = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     pos[counted["bucket"]], neg[counted["bucket"]] = counted["pos"], counted["neg"]
     n_pos, n_neg = pos[-1], neg[-1]
-    rate_pos = (pos[:-1] + SMOOTHING) / (n_pos + 2 * SMOOTHING)
-    rate_neg = (neg[:-1] + SMOOTHING) / (n_neg + 2 * SMOOTHING)
+    rate_pos = pos[:-1] / max(n_pos, 1e-9) + SMOOTHING[0]
+    rate_neg = neg[:-1] / max(n_neg, 1e-9) + SMOOTHING[1]
     weight = np.where(pos[:-1] + neg[:-1] > 0, np.log(rate_pos / rate_neg), 0.0)
     return weight.astype(np.float32), math.log(PRIOR / (1 - PRIOR))
 
 
 def learn(texts: DataFrame, rounds: int = ROUNDS) -> Model:
     """A model of ``texts`` (text), each distinct one counted once."""
-    distinct = texts.filter(F.trim("text") != "").select("text").distinct()
+    distinct = texts.filter(F.col("text").rlike(r"\S")).select("text").distinct()
     ready = cut(distinct.mapInPandas(_prepare, "text string, ids array<int>, known boolean")).select("ids", "known")
     weight, bias = None, 0.0
     for _ in range(rounds + 1):
@@ -258,7 +259,7 @@ def _score_batches(model: Model):
 
 def scored(fields: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(text, score) of every distinct text in ``fields``; above 0 is residue."""
-    texts = cut(fields.filter(F.trim("text") != "").select("text").distinct())
+    texts = cut(fields.filter(F.col("text").rlike(r"\S")).select("text").distinct())
     model = learn(texts, rounds)
     return texts.mapInPandas(_score_batches(model), "text string, score double")
 
