@@ -1,11 +1,11 @@
-"""The flagship query."""
+"""The flagship query: the audit's issues by severity and group, as a report opens with them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditmill.plans.training_data import p7_counts
+from auditmill.plans.site_audit import ag15_severity_totals
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return p7_counts(spark, d)
+    return ag15_severity_totals(spark, d)
