@@ -257,11 +257,15 @@ def features(sentence: str) -> tuple[float, ...]:
     n = max(len(words), 1)
     at: dict[str, list[int]] = {k: [] for k in LISTS}
     for i, w in enumerate(words):
-        for k in kinds(w.split("'")[0] if "'" in w and not kinds(w) else w):
+        found = kinds(w)
+        if not found and "'" in w:
+            found = kinds(w.split("'")[0])
+        for k in found:
             at[k].append(i)
     flat = " ".join(words)
     phrase = {k: float(len(p.findall(flat))) for k, p in PATTERNS.items()}
-    letters = [ch for ch in sentence if ch.isalpha()]
+    letters, capitals = sum(map(str.isalpha, sentence)), sum(map(str.isupper, sentence))
+    marks = len(sentence) - sum(map(str.isalnum, sentence)) - sum(map(str.isspace, sentence))
     dense = [len(at[k]) / n for k in LISTS]
     clear = {i for i in at["insult"] + at["sexual"] if words[i] not in HOMONYMS}
     double = {i for i in at["insult"] + at["sexual"] + at["profanity"]} - clear
@@ -285,9 +289,9 @@ def features(sentence: str) -> tuple[float, ...]:
         _near(at["first"], at["insult"]) if at["first"] and not at["second"] else 0.0,
         float(bool(MODIFIED_THING.search(flat)) + len(at["thing"])),
         float(len(at["about"])),
-        sum(ch.isupper() for ch in letters) / max(len(letters), 1),
+        capitals / max(letters, 1),
         sentence.count("!") / n,
-        sum(not ch.isalnum() and not ch.isspace() for ch in sentence) / max(len(sentence), 1),
+        marks / max(len(sentence), 1),
         disguised / n,
         float(min(n, 60)),
     )
