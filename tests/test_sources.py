@@ -26,7 +26,7 @@ def test_parse():
     assert p["json_ld"][0] == (["Product"], None) and p["json_ld"][1][1]
     assert p["products"][0]["low_price"] == 1009.5 and p["products"][0]["availability"] == "InStock" and p["products"][0]["images"] == 2
     assert p["text"] == "Click here Head line One two three" and p["word_count"] == 7
-    assert html.parse(None)["word_count"] == 0 and html.parse("<body><p><b>x<br")["text"] == "x"
+    assert html.parse(None)["word_count"] == 0 and html.parse("<body><p><b>x<br>")["text"] == "x"
 
 
 def test_decode():
