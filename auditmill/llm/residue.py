@@ -227,8 +227,8 @@ def learn(texts: DataFrame, rounds: int = ROUNDS) -> Model:
 
 
 def decide(text: str, whole: float, parts: dict[str, float]) -> float:
-    """A field's score from those of the whole and of its passages."""
-    best = max([whole, *parts.values()]) if len(parts) < 2 else whole
+    """A field's score from those of the whole and of its passages, if it has several."""
+    best = whole
     for p, s in parts.items():
         rest = [r for r in parts if r != p]
         alone = MARKED.search(p) or STANDIN.fullmatch(p.strip(EDGES))
@@ -248,7 +248,7 @@ def _score_batches(model: Model):
         for pdf in batches:
             texts = pdf["text"].to_list()
             whole = model.scores(texts) if texts else np.zeros(0)
-            parts = [passages(t) for t in texts]
+            parts = [p if len(p) > 1 else [] for p in map(passages, texts)]
             flat = [p for ps in parts for p in ps]
             each = iter(model.scores(flat) if flat else [])
             out = [decide(t, w, {p: float(next(each)) for p in ps}) for t, w, ps in zip(texts, whole, parts, strict=True)]
