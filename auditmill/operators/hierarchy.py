@@ -5,7 +5,8 @@ walks to its next splitter or to the end of its tree, keeping its exact path.
 The splitters form a much smaller pointer graph, solved by doubling. Nodes on a
 cycle without a splitter notice when they are back at their start, and nodes
 that come upon such a cycle stop there;
-nodes that are still walking after ``limit`` hops join the small graph. What
+nodes that are still walking after ``limit`` hops join the small graph, with
+the jump of the node they stopped at, be it to a splitter, an end or a cycle. What
 doubling can't end lies on a cycle or leads into one; the nodes that lead into
 a cycle are then solved once more with the cycle as their end.
 
@@ -99,7 +100,7 @@ def _solve(edges: DataFrame, every: int, limit: int) -> tuple[DataFrame, DataFra
     graph = done.join(splitters, "id", "left_semi").select("id", "ptr", "hops", "mn")
     jumps = done
     if walking is not None:
-        inner = done.join(splitters, "id", "left_anti").filter(F.col("kind").isin("splitter", "end")).select(F.col("id").alias("d_id"), F.col("ptr").alias("d_ptr"), F.col("hops").alias("d_hops"), F.col("mn").alias("d_mn"), F.col("path").alias("d_path"))
+        inner = done.join(splitters, "id", "left_anti").filter(F.col("kind").isin("splitter", "end", "ring")).select(F.col("id").alias("d_id"), F.col("ptr").alias("d_ptr"), F.col("hops").alias("d_hops"), F.col("mn").alias("d_mn"), F.col("path").alias("d_path"))
         more = walking.join(inner, F.col("ptr") == F.col("d_id"), "left")
         more = cut(
             more.select(

@@ -37,6 +37,16 @@ def test_random_graphs(spark, seed, every, limit):
     assert {r.id: (r.root_id, r.depth, r.is_cycle, r.path) for r in p} == want and len(p) == len(want)
 
 
+@pytest.mark.parametrize("length", [20, 100])
+def test_long_tails_into_cycles_without_splitters(spark, length):
+    edges = {0: 0, 1000: 1001, 1001: 1000}
+    edges.update({i: i - 1 for i in range(1, length + 1)})
+    edges.update({2000 + i: 1999 + i for i in range(1, length + 1)})
+    edges[2001] = 1001
+    p = paths(frame(spark, edges.items()), every=10**9).collect()
+    assert {r.id: (r.root_id, r.depth, r.is_cycle, r.path) for r in p} == brute(edges)
+
+
 def test_small_cases(spark):
     got = {r.id: (r.root_id, r.depth, r.is_cycle) for r in trees(frame(spark, [(1, 1), (2, 1), (3, 9), (3, 8), (4, 3), (4, 3)])).collect()}
     assert got == {1: (1, 0, 1), 2: (1, 1, 1), 3: (8, 1, 0), 4: (8, 2, 0)}
