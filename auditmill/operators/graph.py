@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +35,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("x").alias("id"), F.col("y").alias("component")).unionByName(roots).distinct()
 
 
-def crawl_depth(edges: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
-    """(id, depth) of all nodes reached from ``starts`` (id) over ``edges`` (source_id, target_id)."""
+def crawl_depth(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, depth) of all nodes reached from ``starts`` (id) over ``edges`` (source_id, target_id).
+
+    Runs until no new node is met. Rounds are merged two by two as they grow
+    old, so there are as many tables as the logarithm of the depth and every
+    row is written again as often.
+    """
     e = cut(edges.select("source_id", "target_id").distinct())
-    seen = cut(starts.select("id").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for d in range(1, most + 1):
+    front = cut(starts.select("id").distinct().withColumn("depth", F.lit(0)))
+    parts = [(1, front)]
+    for d in count(1):
+        seen = reduce(DataFrame.unionByName, [p for _, p in parts])
         reached = front.join(e, front.id == e.source_id).select(F.col("target_id").alias("id")).distinct()
         front = cut(reached.join(seen, "id", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+            return seen
+        while len(parts) > 1 and parts[-1][0] == parts[-2][0]:
+            (n, new), (_, old) = parts.pop(), parts.pop()
+            parts.append((2 * n, cut(old.unionByName(new), old, new)))
+        parts.append((1, front))

@@ -68,7 +68,7 @@ def gr2_redirect_components(spark: SparkSession, d: str) -> DataFrame:
 def gr3_crawl_depth(spark: SparkSession, d: str) -> DataFrame:
     """Clicks from the shared template pages, breadth first."""
     edges = table(spark, d, "links").filter("type = 0").select("source_id", "target_id")
-    return crawl_depth(edges, table(spark, d, "hub_urls").select("id"), most=12)
+    return crawl_depth(edges, table(spark, d, "hub_urls").select("id"))
 
 
 def _checkpoint(spark: SparkSession) -> str:
