@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditmill.operators.graph import components, crawl_depth
-from auditmill.operators.near_duplicates import classes, pairs
+from auditmill.operators.near_duplicates import classes, pairs, simhash_classes, simhash_pairs
 from auditmill.session import cut, shared_dir, table
 from auditmill.streaming import responses
 
@@ -30,25 +30,37 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-@query()
-def jn18_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """One row per long text: its class of equal texts and how many other classes are near it."""
-    members = cut(classes(_texts(spark, d)))
-    near = pairs(members)
+def _linked(members: DataFrame, near: DataFrame) -> DataFrame:
     links = near.select(F.col("a").alias("class_id")).unionByName(near.select(F.col("b").alias("class_id"))).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     return members.select("id", "class_id").join(links, "class_id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
 
 
+@query()
+def jn18_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document: its class of equal texts and how many other classes are near it."""
+    texts = _texts(spark, d)
+    members = cut(classes(texts))
+    return _linked(members, cut(pairs(texts, members)))
+
+
 @query()
 def jn18_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Near pairs between classes."""
-    return pairs(cut(classes(_texts(spark, d))))
+    texts = _texts(spark, d)
+    return pairs(texts, cut(classes(texts)))
+
+
+@query()
+def jn18_simhash(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's variant: one row per text of 50 words or more, near by SimHash."""
+    members = cut(simhash_classes(_texts(spark, d)))
+    return _linked(members, simhash_pairs(members))
 
 
 @query()
 def gr2_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of near texts."""
-    return components(pairs(cut(classes(_texts(spark, d)))).select("a", "b"))
+    return components(jn18_pairs(spark, d).select("a", "b"))
 
 
 @query("""
