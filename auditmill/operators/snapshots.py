@@ -2,8 +2,10 @@
 
 Every row becomes a compact record of numbers: a 128-bit hash of (host, url),
 a 64-bit hash of the compared values, and the crawl's place in its host's
-order. Records go to hash buckets of the key; the bucket count follows the row
-count, so a host with a third of all rows fills no bucket more than others.
+order. Rows of a URL in a crawl are first reduced to the one that counts, on
+the map side too. Records then go to hash buckets of the key; the bucket count
+follows the row count, so neither a host nor a URL with a third of all rows
+fills its bucket: a key has at most one record a crawl.
 In a bucket, numpy sorts the records and finds by ``searchsorted`` which keys
 miss in the next or the previous crawl and which have another row hash. Only
 for these are the full values fetched.
@@ -56,17 +58,14 @@ def crawl_order(crawls: DataFrame, done: str = "done") -> DataFrame:
 
 
 def _bucket_diff(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Differences of a bucket that holds one record per key and crawl."""
     k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
     seq, rh = pdf["seq"].to_numpy().astype(np.int64), pdf["rh"].to_numpy()
-    crawled, received = pdf["crawled"].to_numpy(), pdf["received"].to_numpy()
-    order = np.lexsort((rh, received, crawled, seq, k2, k1))
+    order = np.lexsort((seq, k2, k1))
     k1, k2, seq, rh = k1[order], k2[order], seq[order], rh[order]
     new_key = np.ones(len(k1), bool)
     new_key[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
     key = np.cumsum(new_key) - 1
-    last = np.ones(len(k1), bool)
-    last[:-1] = new_key[1:] | (seq[1:] != seq[:-1])
-    order, key, seq, rh, k1, k2 = order[last], key[last], seq[last], rh[last], k1[last], k2[last]
     span = int(seq.max()) + 2
     cell = key * span + seq
     at = np.searchsorted(cell, cell + 1)
@@ -87,6 +86,18 @@ def _bucket_diff(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
+def _records(rows: DataFrame, buckets: int) -> DataFrame:
+    """One compact record per key and crawl, from the latest state, with its bucket."""
+    last = rows.groupBy("k1", "k2", "crawl_id", "seq", "prev_id", "next_id").agg(F.max("state")["rh"].alias("rh"))
+    return last.select(
+        F.pmod("k1", F.lit(buckets)).cast("int").alias("bucket"),
+        "k1", "k2", "seq", "crawl_id",
+        F.coalesce("prev_id", F.lit(0)).alias("prev_id"), F.coalesce("next_id", F.lit(0)).alias("next_id"),
+        F.col("prev_id").isNotNull().alias("has_prev"), F.col("next_id").isNotNull().alias("has_next"),
+        "rh",
+    )
+
+
 def snapshot_changes(snapshots: DataFrame, crawls: DataFrame, values: Sequence[str] = ("status_code", "indexability"), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(from_crawl_id, to_crawl_id, url, change_kind) between each complete crawl and the next of its host."""
     order = crawl_order(crawls)
@@ -94,16 +105,11 @@ def snapshot_changes(snapshots: DataFrame, crawls: DataFrame, values: Sequence[s
     keyed = keyed.withColumns({"k1": _null_safe_hash(["crawl_host", "url"], "a"), "k2": _null_safe_hash(["crawl_host", "url"], "b")})
     buckets = max(1, -(-snapshots.count() // bucket_rows))
     micros = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(-(2**62)))
-    compact = keyed.select(
-        F.pmod("k1", F.lit(buckets)).cast("int").alias("bucket"),
-        "k1", "k2", "seq", "crawl_id",
-        F.coalesce("prev_id", F.lit(0)).alias("prev_id"), F.coalesce("next_id", F.lit(0)).alias("next_id"),
-        F.col("prev_id").isNotNull().alias("has_prev"), F.col("next_id").isNotNull().alias("has_next"),
-        _null_safe_hash(list(values), "r").alias("rh"),
-        micros("crawled_at").alias("crawled"),
-        micros("received_at").alias("received"),
+    rows = keyed.select(
+        "k1", "k2", "crawl_id", "seq", "prev_id", "next_id",
+        F.struct(micros("crawled_at").alias("crawled"), micros("received_at").alias("received"), _null_safe_hash(list(values), "r").alias("rh")).alias("state"),
     )
-    diff = cut(compact.groupBy("bucket").applyInPandas(_bucket_diff, DIFF))
+    diff = cut(_records(rows, buckets).groupBy("bucket").applyInPandas(_bucket_diff, DIFF))
     full = keyed.select(F.col("crawl_id").alias("at_crawl_id"), "k1", "k2", "url")
     return (
         full.join(diff, ["at_crawl_id", "k1", "k2"])

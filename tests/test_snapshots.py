@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+from auditmill.operators import snapshots
 from auditmill.operators.snapshots import snapshot_changes
 
 SNAP = "crawl_id long, host string, url string, status_code int, indexability int, crawled_at timestamp, received_at timestamp, seq int, k1 string"
@@ -46,6 +47,21 @@ def test_null_and_value_swaps_are_changes(spark):
     assert [tuple(r) for r in got] == [(1, 2, "u", "changed")]
 
 
+def test_a_repeated_url_reaches_its_bucket_once_a_crawl(spark, tmp_path, monkeypatch):
+    plain = snapshots._bucket_diff
+
+    def noted(pdf):
+        (tmp_path / f"{pdf['bucket'].iloc[0]}").write_text(str(len(pdf)))
+        return plain(pdf)
+
+    monkeypatch.setattr(snapshots, "_bucket_diff", noted)
+    crawls = [(c, "a", T0 + timedelta(days=c), "done") for c in range(3)]
+    snaps = [(k % 3, "a", None, 200 + k % 2, 1, T0 + timedelta(seconds=k), T0, 0, "") for k in range(3000)] + [(k % 3, "a", str(k), 200, 1, T0, T0, 0, "") for k in range(90)]
+    got = {tuple(r) for r in snapshot_changes(spark.createDataFrame(snaps, SNAP), spark.createDataFrame(crawls, CRAWLS), bucket_rows=1000).collect()}
+    assert got == brute(snaps, crawls)
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 93
+
+
 def test_equal_snapshots_and_empty_tables(spark):
     crawls = spark.createDataFrame([(1, "a", T0, "done"), (2, "a", T0 + timedelta(days=1), "done")], CRAWLS)
     same = [(c, "a", "x" * 5000, 200, 1, T0, T0, 0, "") for c in (1, 2)]
