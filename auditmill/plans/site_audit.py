@@ -518,6 +518,12 @@ def st4_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(F.col("source").isNotNull()).select("doc_id", text.fnv1a64_udf("source").alias("hash"))
 
 
+@query()
+def st4_text_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The content hash of every document's whole text; null for none."""
+    return table(spark, d, "documents").select("doc_id", text.fnv1a64_udf("text").alias("hash"))
+
+
 @query("""
     SELECT type, count(*) AS links, count(*) FILTER (WHERE flags & 1 <> 0) AS nofollow, count(*) FILTER (WHERE flags & 2 <> 0) AS ugc, count(*) FILTER (WHERE flags & 4 <> 0) AS sponsored, count(*) FILTER (WHERE ((flags & 1792) >> 8) BETWEEN 1 AND 4) AS in_template,
         count(*) FILTER (WHERE trim(lower(text)) IN ('click here', 'click', 'here', 'read more', 'more', 'learn more', 'this page', 'link', 'go', 'this', 'more info', 'find out more')) AS generic FROM links GROUP BY type""")
