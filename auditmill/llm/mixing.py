@@ -12,8 +12,11 @@ only one slice of a leaf is ever put in order.
 Unless a total is asked for, it is the largest that leaves no more than
 ``short_weight`` of all weight short of its target.
 
-Defined results. Texts that are equal byte by byte are one text, that of the
-smallest doc_id. Null and empty texts hold no tokens and aren't used. Null or
+Defined results. Texts that are equal byte by byte are one text, used for one
+source only, so that no text is repeated more often than allowed. A text that
+several sources with targets hold goes to one of them by its hash, in parts
+that fill those that would fall short first; the row is the smallest doc_id of
+that source. Null and empty texts hold no tokens and aren't used. Null or
 blank lang is 'und'; lang is compared by its first part without case. A source
 without target gets nothing; a target without texts is a shortage. If all
 sources together can't give the total, each is used to its limit. The last text
@@ -39,13 +42,63 @@ def language(lang: Column) -> Column:
     return F.when(lang.isNull() | (F.trim(lang) == ""), F.lit("und")).otherwise(first)
 
 
-def unique_texts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, lang, host, tokens, copies), one row per distinct text that has tokens."""
+def unique_texts(docs: DataFrame, vocabulary: str = VOCABULARY, targets: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source, lang, host, tokens, copies), one row per distinct text that has tokens.
+
+    With ``targets``, texts that several sources hold are dealt to those with a target.
+    """
     keep = ["doc_id", "source", "lang", "host", "digest"]
     rows = docs.select("doc_id", "source", language(F.col("lang")).alias("lang"), F.coalesce("host", F.lit("")).alias("host"), F.sha2("text", 256).alias("digest"), "text")
     counted = rows.mapInArrow(count_batches(keep, vocabulary), "doc_id long, source string, lang string, host string, digest string, tokens long").filter("tokens > 0")
-    one = counted.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "lang", "host", "tokens")).alias("t"), F.count(F.lit(1)).alias("copies"))
-    return one.select("t.*", "copies")
+    row = F.min(F.struct("doc_id", "source", "lang", "host", "tokens")).alias("t")
+    if targets is None:
+        return counted.groupBy("digest").agg(row, F.count(F.lit(1)).alias("copies")).select("t.*", "copies")
+    goals = {r.source: r.target_weight / r.max_repeats for r in targets.collect() if r.target_weight > 0 and r.max_repeats > 0}
+    held = counted.groupBy("digest", "source").agg(row, F.count(F.lit(1)).alias("copies"))
+    wanted = F.when(F.col("source").isin(*goals), F.col("source"))
+    one = cut(held.groupBy("digest").agg(F.sort_array(F.collect_set(wanted)).alias("sources"), F.sort_array(F.collect_list("t")).alias("ts"), F.sum("copies").alias("copies")))
+    sums = {tuple(r.sources): float(r.n) for r in one.groupBy("sources").agg(F.sum(F.col("ts")[0]["tokens"]).alias("n")).collect() if r.sources}
+    upto = [(list(k), [sum(v[: i + 1]) for i in range(len(v) - 1)]) for k, v in dealt_shares(sums, goals).items()]
+    marks = one.sparkSession.createDataFrame(upto, "sources array<string>, upto array<double>")
+    turn = F.pmod(F.xxhash64("digest", F.lit("source")), F.lit(1 << 30)) / (1 << 30)
+    at = F.size(F.filter(F.coalesce("upto", F.array().cast("array<double>")), lambda x: x <= F.col("turn")))
+    met = one.join(F.broadcast(marks), "sources", "left").withColumn("turn", turn).withColumn("taker", F.get("sources", at))
+    mine = F.get(F.filter("ts", lambda t: t["source"] == F.col("taker")), F.lit(0))
+    return met.select(F.coalesce(mine, F.col("ts")[0]).alias("t"), "copies").select("t.*", "copies")
+
+
+def dealt_shares(sums: dict[tuple[str, ...], float], goals: dict[str, float], rounds: int = 200) -> dict[tuple[str, ...], list[float]]:
+    """Which part of the tokens that a set of sources holds in common each of them gets.
+
+    ``sums`` are the tokens by set, ``goals`` the tokens a source needs for one unit of the total. The sources
+    that would fall short first are filled up first, set by set until nothing moves.
+    """
+    given = {k: [n / len(k)] * len(k) for k, n in sums.items()}
+    has = dict.fromkeys(goals, 0.0)
+    for k, v in given.items():
+        for s, x in zip(k, v, strict=True):
+            has[s] += x
+    for _ in range(rounds):
+        moved = 0.0
+        for k, v in given.items():
+            if len(k) < 2:
+                continue
+            rest = [has[s] - x for s, x in zip(k, v, strict=True)]
+            level, need, base = 0.0, 0.0, 0.0
+            order = sorted(range(len(k)), key=lambda i: rest[i] / goals[k[i]])  # noqa: B023
+            for place, i in enumerate(order):
+                need, base = need + goals[k[i]], base + rest[i]
+                level = (sums[k] + base) / need
+                if place + 1 == len(order) or level <= rest[order[place + 1]] / goals[k[order[place + 1]]]:
+                    break
+            new = [max(0.0, level * goals[s] - r) for s, r in zip(k, rest, strict=True)]
+            moved += sum(abs(a - b) for a, b in zip(new, v, strict=True))
+            for s, r, x in zip(k, rest, new, strict=True):
+                has[s] = r + x
+            given[k] = new
+        if moved <= 1e-6 * sum(sums.values()):
+            break
+    return {k: [x / sums[k] for x in v] for k, v in given.items() if len(k) > 1}
 
 
 def share_out(nodes: DataFrame, budgets: DataFrame, parent: Sequence[str]) -> DataFrame:

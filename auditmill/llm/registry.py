@@ -71,15 +71,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    texts = mixing.unique_texts(table(spark, d, "documents"))
-    return mixing.mix(texts, table(spark, d, "mix_targets"))[0]
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix(mixing.unique_texts(table(spark, d, "documents"), targets=targets), targets)[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares really reached."""
     from auditmill.session import cut
 
-    texts, targets = cut(mixing.unique_texts(table(spark, d, "documents"))), table(spark, d, "mix_targets")
+    targets = table(spark, d, "mix_targets")
+    texts = cut(mixing.unique_texts(table(spark, d, "documents"), targets=targets))
     chosen, by_source = mixing.mix(texts, targets)
     return mixing.shares(cut(chosen), texts, targets, by_source)
 

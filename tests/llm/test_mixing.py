@@ -73,3 +73,21 @@ def test_empty(spark, texts):
 def test_reachable_total():
     assert mixing.reachable_total({"a": (0.5, 100.0), "b": (0.45, 900.0), "c": (0.05, 1.0)}, 0.1) == 200.0
     assert mixing.reachable_total({}, 0.1) == 0.0
+
+
+def test_shared_texts_serve_the_source_that_falls_short(spark):
+    rows = [(i, "a", "en", "h", f"own {i}", 0, 0) for i in range(20)]
+    rows += [(100 + i, "a", "en", "h", f"shared {i}", 0, 0) for i in range(400)] + [(1000 + i, "b", "en", "h", f"shared {i}", 0, 0) for i in range(400)]
+    rows += [(1, "none", "en", "h", "of b too", 0, 0), (2000, "b", "en", "h", "of b too", 0, 0), (3000, "none", "en", "h", "of none", 0, 0)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
+    got = mixing.unique_texts(spark.createDataFrame(rows, SHAPE), targets=targets).collect()
+    assert len(got) == 422 and {r.doc_id for r in got} <= {r[0] for r in rows}
+    held = Counter(r.source for r in got)
+    assert abs(held["a"] - held["b"]) < 60 and held["none"] == 1
+    assert all(r.source == ("a" if r.doc_id < 1000 else "none" if r.doc_id == 3000 else "b") for r in got)
+    assert sum(r.copies for r in got) == len(rows)
+
+
+def test_dealt_shares_level_out():
+    got = mixing.dealt_shares({("a",): 100.0, ("a", "b"): 50.0, ("b", "c"): 70.0}, {"a": 1.0, "b": 1.0, "c": 1.0})
+    assert got[("a", "b")] == pytest.approx([0, 1], abs=1e-4) and got[("b", "c")] == pytest.approx([1 / 7, 6 / 7], abs=1e-3)
