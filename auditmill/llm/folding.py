@@ -3,7 +3,9 @@
 Texts stay in their Arrow buffers. A lookup table maps each code point to 0
 (skipped) or to its folded form; from the places that aren't skipped come two
 64-bit polynomial hashes per text and, for texts whose hashes agree, a
-comparison place by place. Canonical strings are never built.
+comparison place by place. No canonical strings are built, but the folded code
+points of a whole batch are held as arrays, for a comparison those of both
+sides; there are no two pointers that skip along the texts.
 
 Letters and digits are the code points of the Unicode classes L* and N*.
 Accented letters differ from plain ones; a combining accent is joined to its
@@ -145,7 +147,7 @@ def combined(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def same(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Whether texts fold alike: both sides skip to their next place that counts, then compare."""
+    """Whether texts fold alike: the folded code points of both sides are built and compared as arrays."""
     n = len(left)
     a, at_a = folded(left)
     b, at_b = folded(right)
