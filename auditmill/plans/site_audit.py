@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditmill.audit import cross_rules, row_rules, visibility
@@ -299,8 +299,6 @@ def fi14_repeated_segments(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, host, size_bytes, row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, id) AS pos FROM urls WHERE is_internal AND state = 1 AND resource_type = 0 ORDER BY pos LIMIT 200")
 def so1_largest_pages(spark: SparkSession, d: str) -> DataFrame:
     """A report of the 200 largest pages."""
-    from pyspark.sql import Window
-
     top = tables.Request("internal_html", sort="size_bytes", ascending=False, limit=200).run(urls(spark, d), ["id", "host", "size_bytes"])
     return top.withColumn("pos", F.row_number().over(Window.orderBy(F.col("size_bytes").desc_nulls_last(), "id")))
 
@@ -419,6 +417,24 @@ def set4_reconciled(spark: SparkSession, d: str) -> DataFrame:
     return visibility.reconciled(wanted, have, spark.createDataFrame([("e",)], "code string"), complete=False)
 
 
+@query("""
+    WITH c AS (SELECT crawl_id, host, row_number() OVER (PARTITION BY host ORDER BY started_at DESC, crawl_id DESC) AS z FROM crawls WHERE status = 'done'),
+    s AS (SELECT u.url, u.status_code // 100 AS k, c.host, c.z FROM url_snapshots u JOIN c USING (crawl_id) WHERE u.url IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY u.crawl_id, u.url ORDER BY u.crawled_at DESC NULLS LAST, u.received_at DESC NULLS LAST) = 1),
+    i AS (SELECT k || 'xx ' || coalesce(host, '') || ' ' || url AS code, z FROM s WHERE k IN (4, 5)),
+    t AS (SELECT code, bool_or(z = 1) AS wanted, bool_or(z = 2) AS is_open, bool_or(z > 1) AS known FROM i GROUP BY code)
+    SELECT code, CASE WHEN wanted AND NOT known THEN 'create' WHEN wanted AND is_open THEN 'update' WHEN wanted THEN 'reopen' WHEN is_open THEN 'close' ELSE 'leave' END AS action FROM t""")
+def set4_crawls_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks for the 4xx and 5xx of earlier complete crawls, open if the last but one had them, in line with the last one's."""
+    z = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("started_at"), F.desc("crawl_id")))
+    done = table(spark, d, "crawls").filter("status = 'done'").select("crawl_id", F.coalesce("host", F.lit("")).alias("host"), z.alias("z"))
+    rows = table(spark, d, "url_snapshots").filter(F.col("url").isNotNull()).select("crawl_id", "url", "status_code", "crawled_at", "received_at").join(done, "crawl_id")
+    now = tables.latest(rows, ["crawl_id", "url"], F.col("crawled_at"), F.col("received_at")).withColumn("kind", measures.status_class(F.col("status_code")))
+    issues = cut(now.filter(F.col("kind").isin("4xx", "5xx")).select(F.concat_ws(" ", "kind", "host", "url").alias("code"), "z"))
+    existing = issues.filter("z > 1").groupBy("code").agg((F.min("z") == 2).alias("is_open"))
+    return visibility.reconciled(issues.filter("z = 1"), existing, spark.createDataFrame([], "code string"), complete=True)
+
+
 @query("SELECT id FROM (SELECT url_id AS id FROM page_records WHERE coalesce(h1, '') = '') WHERE id IN (SELECT url_id FROM page_records WHERE coalesce(title, '') = '')")
 def set7_both_missing(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "page_records")
