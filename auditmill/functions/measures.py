@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 # What status codes are called.
 REASONS = {
-    200: "OK", 201: "Created", 202: "Accepted", 204: "No Content", 206: "Partial Content", 300: "Multiple Choices", 301: "Moved Permanently", 302: "Found", 303: "See Other",
-    304: "Not Modified", 307: "Temporary Redirect", 308: "Permanent Redirect", 400: "Bad Request", 401: "Unauthorized", 402: "Payment Required", 403: "Forbidden", 404: "Not Found",
-    405: "Method Not Allowed", 406: "Not Acceptable", 408: "Request Timeout", 409: "Conflict", 410: "Gone", 412: "Precondition Failed", 418: "I'm a Teapot", 421: "Misdirected Request",
-    422: "Unprocessable Content", 423: "Locked", 425: "Too Early", 428: "Precondition Required", 429: "Too Many Requests", 431: "Request Header Fields Too Large", 451: "Unavailable For Legal Reasons",
-    500: "Internal Server Error", 501: "Not Implemented", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout", 505: "HTTP Version Not Supported", 511: "Network Authentication Required",
+    100: "Continue", 101: "Switching Protocols", 103: "Early Hints",
+    200: "OK", 201: "Created", 202: "Accepted", 203: "Non-Authoritative Information", 204: "No Content", 205: "Reset Content", 206: "Partial Content",
+    300: "Multiple Choices", 301: "Moved Permanently", 302: "Found", 303: "See Other", 304: "Not Modified", 307: "Temporary Redirect", 308: "Permanent Redirect",
+    400: "Bad Request", 401: "Unauthorized", 402: "Payment Required", 403: "Forbidden", 404: "Not Found", 405: "Method Not Allowed", 406: "Not Acceptable",
+    407: "Proxy Authentication Required", 408: "Request Timeout", 409: "Conflict", 410: "Gone", 411: "Length Required", 412: "Precondition Failed", 413: "Content Too Large",
+    414: "URI Too Long", 415: "Unsupported Media Type", 416: "Range Not Satisfiable", 417: "Expectation Failed", 418: "I'm a Teapot", 421: "Misdirected Request",
+    422: "Unprocessable Content", 425: "Too Early", 426: "Upgrade Required", 428: "Precondition Required", 429: "Too Many Requests",
+    431: "Request Header Fields Too Large", 451: "Unavailable For Legal Reasons",
+    500: "Internal Server Error", 501: "Not Implemented", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout", 505: "HTTP Version Not Supported",
+    507: "Insufficient Storage", 508: "Loop Detected", 511: "Network Authentication Required", 520: "Web Server Returned an Unknown Error", 521: "Web Server Is Down",
+    522: "Connection Timed Out", 523: "Origin Is Unreachable", 525: "SSL Handshake Failed",
 }
+# What the classes of other codes are called, from 1xx to 5xx.
+CLASS_REASONS = ("Informational", "Success", "Redirection", "Client Error", "Server Error")
 # Statuses by which a site refuses an automated check.
 REFUSALS = (401, 402, 403, 406, 407, 429, 999)
+# Headers that bot protection adds.
 CHALLENGES = ("cf-mitigated", "x-datadome", "x-amzn-waf-action", "x-px-block")
 RESOURCE_TYPES = ("page", "image", "css", "javascript", "pdf", "other")
 
@@ -25,8 +34,10 @@ def status_class(status: Column) -> Column:
 
 
 def reason(status: Column) -> Column:
+    """What a status is called, by its class where the code has no name; null only for null."""
     names = F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.lit(v))])
-    return F.element_at(names, status)
+    group = F.when(status.between(100, 599), F.element_at(F.array(*[F.lit(c) for c in CLASS_REASONS]), F.floor(F.greatest(status, F.lit(100)) / 100).cast("int")))
+    return F.when(status.isNotNull(), F.coalesce(F.try_element_at(names, status), group, F.lit("Unknown")))
 
 
 def resource_type(content_type: Column) -> Column:

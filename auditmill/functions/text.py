@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType
+from pyspark.sql.types import DoubleType, LongType
 
 # Anchor texts that say nothing about their target.
 GENERIC_ANCHORS = ("click here", "click", "here", "read more", "more", "learn more", "this page", "link", "go", "this", "more info", "find out more")
@@ -18,8 +19,6 @@ LANGUAGES = (
     "ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw "
     "sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
 ).split()
-# Regions are two letters; these aren't assigned to any although often written.
-NO_REGIONS = ("EN", "EU", "UK")
 FNV_START, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 WORD = re.compile(r"\S*[^\W_]\S*", re.U)
 
@@ -146,11 +145,18 @@ def pixel_width_udf(size: float):
     return run
 
 
+@lru_cache(maxsize=1)
+def regions() -> tuple[str, ...]:
+    """The region codes of ISO 3166, as Java's locales list them."""
+    codes = SparkSession.active()._jvm.java.util.Locale.getISOCountries()
+    return tuple(sorted(str(c) for c in codes))
+
+
 def valid_hreflang(value: Column) -> Column:
-    """x-default, or a language with script, region or both."""
+    """x-default, or a language with script, region or both; the codes are those of ISO 639 and ISO 3166."""
     v = F.trim(value)
     parts = F.split(F.lower(v), "-")
-    script, region = (lambda p: p.rlike(r"^\p{L}{4}$")), (lambda p: p.rlike("^[a-z]{2}$") & ~F.upper(p).isin(*NO_REGIONS))
+    script, region = (lambda p: p.rlike(r"^\p{L}{4}$")), (lambda p: F.upper(p).isin(*regions()))
     known = parts[0].isin(*LANGUAGES)
     n = F.size(parts)
     at = lambda i: F.get(parts, F.lit(i))
@@ -198,41 +204,48 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+# The folders of a theme that a template error can name.
+THEME_FOLDERS = ("snippets", "sections", "templates", "layout")
+
+
 def liquid_place(path: Column) -> Column:
-    """The file and line a template error in an address names; null without one."""
-    text = F.replace(F.coalesce(F.try_url_decode(path), path), F.lit("+"), F.lit(" "))
-    file = F.regexp_extract(text, r"((?:snippets|sections|templates|layout)/[A-Za-z0-9_.-]+)", 1)
-    line = F.regexp_extract(text, r"(line [0-9]+)", 1)
-    place = F.trim(F.concat_ws(" ", file, line))
-    return F.when(F.lower(text).contains("liquid error"), F.when(place == "", F.lit("the theme")).otherwise(place))
-
-
-def rewrite_kind(source: str | None, target: str | None) -> str | None:
-    """How an address was rewritten: 'removed:x', 'inserted:x' or 'moved:a>b'; None for no change worth naming."""
-    if source is None or target is None:
-        return None
-    a, b = source.lower(), target.lower()
-    if a == b:
-        return None
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    gone, new = a[head : len(a) - tail], b[head : len(b) - tail]
-    general = lambda t: re.sub(r"[0-9]+", "#", t) if re.fullmatch(r"-?[0-9]+", t) else t
-    across = "/" in gone or "/" in new
-    if gone and not new and not across:
-        return "removed:" + general(gone)
-    if new and not gone and not across:
-        return "inserted:" + general(new)
-    kept = a[len(a) - tail :]
-    if not kept.startswith("/") or len(kept) <= 2:
-        return None
-    return f"moved:{a[: len(a) - tail]}>{b[: len(b) - tail]}"
-
-
-@F.pandas_udf(StringType())
-def rewrite_kind_udf(source: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([rewrite_kind(a, b) for a, b in zip(source, target, strict=True)], dtype=object)
+    """The file and line a template error in an address names, 'the theme' where it names none; null without an error.
+
+    The file is the earliest piece of the address that begins at a theme folder,
+    the line the first number after the word 'line'.
+    """
+    said = F.translate(F.coalesce(F.try_url_decode(path), path), "+", " ")
+    begins = F.array_sort(F.filter(F.array(*[F.instr(said, f"{f}/") for f in THEME_FOLDERS]), lambda at: at > 0))
+    begun = F.transform(begins, lambda at: F.regexp_extract(F.substr(said, at), "^[a-z]+/[A-Za-z0-9_.-]+", 0))
+    file = F.get(F.filter(begun, lambda f: f != ""), F.lit(0))
+    after = F.split(said, "line ")
+    number = F.get(F.filter(F.slice(after, 2, F.greatest(F.size(after), F.lit(1))), lambda t: t.rlike("^[0-9]")), F.lit(0))
+    line = F.concat(F.lit("line "), F.regexp_extract(number, "^[0-9]+", 0))
+    place = F.concat_ws(" ", file, line)
+    return F.when(F.lower(said).contains("liquid error"), F.when(place == "", F.lit("the theme")).otherwise(place))
+
+
+def rewrite_kind(source: Column, target: Column) -> Column:
+    """How an address was rewritten: 'removed:x', 'inserted:x' or 'moved:a>b'; null for no change worth naming.
+
+    What both addresses begin and end with is found by one pattern each, over
+    the two joined by a character that no address holds: the longest group that
+    comes back after it.
+    """
+    both = F.concat(F.lower(source), F.lit("\u0000"), F.lower(target))
+    head = F.length(F.regexp_extract(both, r"(?s)^(.*)[^\x00]*\x00\1", 1))
+    rest = F.concat(F.substr(F.lower(source), head + 1), F.lit("\u0000"), F.substr(F.lower(target), head + 1))
+    kept = F.regexp_extract(rest, r"(?s)^[^\x00]*?([^\x00]*)\x00[^\x00]*\1$", 1)
+    lost = F.substring_index(rest, "\u0000", 1)
+    won = F.substring_index(rest, "\u0000", -1)
+    cut_tail = lambda t: F.substr(t, F.lit(1), F.length(t) - F.length(kept))
+    gone, new = cut_tail(lost), cut_tail(won)
+    number = lambda t: F.when(t.rlike("^-?[0-9]+$"), F.when(t.startswith("-"), F.lit("-#")).otherwise(F.lit("#"))).otherwise(t)
+    within = ~F.concat(gone, new).contains("/")
+    moved = F.concat(F.lit("moved:"), cut_tail(F.lower(source)), F.lit(">"), cut_tail(F.lower(target)))
+    return (
+        F.when((gone == "") & (new == ""), F.lit(None))
+        .when(within & (new == ""), F.concat(F.lit("removed:"), number(gone)))
+        .when(within & (gone == ""), F.concat(F.lit("inserted:"), number(new)))
+        .when(kept.startswith("/") & (F.length(kept) > 2), moved)
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auditmill.functions.urls import normalize_escapes
 
+# How much of a file is read by default; what lies beyond is reported as cut.
 MOST_BYTES = 500 * 1024
 # How the three keys are misspelt.
 KEYS = {
@@ -20,9 +21,9 @@ KEYS = {
 RULES = "origin string, group_no int, agent string, allow boolean, pattern string, line int"
 
 
-def parse(text: str | None) -> tuple[list[tuple[list[str], list[tuple[bool, str, int]]]], list[str]]:
-    """(groups of agents and rules, sitemaps)."""
-    body = (text or "").encode()[:MOST_BYTES].decode("utf-8", "ignore").removeprefix("﻿")
+def parse(text: str | None, most: int | None = MOST_BYTES) -> tuple[list[tuple[list[str], list[tuple[bool, str, int]]]], list[str]]:
+    """(groups of agents and rules, sitemaps) of the first ``most`` bytes, None for all."""
+    body = (text or "").encode()[:most].decode("utf-8", "ignore").removeprefix("\ufeff")
     groups: list[tuple[list[str], list[tuple[bool, str, int]]]] = []
     sitemaps: list[str] = []
     naming = False
@@ -49,18 +50,27 @@ def parse(text: str | None) -> tuple[list[tuple[list[str], list[tuple[bool, str,
     return groups, sitemaps
 
 
-def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for origin, body in zip(pdf["origin"], pdf["body"], strict=True):
-            for k, (agents, rules) in enumerate(parse(body)[0]):
-                out += [(origin, k, a, allow, pattern, line) for a in dict.fromkeys(agents) for allow, pattern, line in rules or [(True, "", 0)]]
-        yield pd.DataFrame(out, columns=["origin", "group_no", "agent", "allow", "pattern", "line"])
+def _rules(most: int | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for origin, body in zip(pdf["origin"], pdf["body"], strict=True):
+                for k, (agents, rules) in enumerate(parse(body, most)[0]):
+                    out += [(origin, k, a, allow, pattern, line) for a in dict.fromkeys(agents) for allow, pattern, line in rules or [(True, "", 0)]]
+            yield pd.DataFrame(out, columns=["origin", "group_no", "agent", "allow", "pattern", "line"])
 
+    return run
 
-def rules(files: DataFrame) -> DataFrame:
+
+def rules(files: DataFrame, most: int | None = MOST_BYTES) -> DataFrame:
     """Rule rows of ``files`` (origin, body); a group without rules has one that matches nothing."""
-    return files.select("origin", "body").mapInPandas(_rules, RULES)
+    return files.select("origin", "body").mapInPandas(_rules(most), RULES)
+
+
+def shortened(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """(origin, bytes_left_out) of the files that are longer than what ``rules`` reads."""
+    size = F.octet_length("body")
+    return files.filter(size > most).select("origin", (size - most).cast("long").alias("bytes_left_out"))
 
 
 def verdicts(urls: DataFrame, table: DataFrame, agent: str) -> DataFrame:

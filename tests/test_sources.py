@@ -61,7 +61,9 @@ def test_sitemaps(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:image="http://i.example"'
     one = f"<urlset {ns}><url><loc> https://h.example/1 </loc><image:image><image:loc>https://h.example/i.png</image:loc></image:image></url><url><loc>https://h.example/2</loc></url></urlset>".encode()
     index = f"<sitemapindex {ns}><sitemap><loc>s1</loc></sitemap><sitemap><loc>s2</loc></sitemap><sitemap><loc>root</loc></sitemap></sitemapindex>".encode()
-    assert sitemaps.parse(one) == ("urls", ["https://h.example/1", "https://h.example/2"])
+    assert sitemaps.parse(one) == ("urls", ["https://h.example/1", "https://h.example/2"], False)
+    assert sitemaps.parse(one, entries=1) == ("urls", ["https://h.example/1"], True) and sitemaps.parse(one, entries=None, size=None)[2] is False
+    assert sitemaps.parse(b"https://h.example/1\nhttps://h.example/2", entries=1) == ("urls", ["https://h.example/1"], True)
     assert sitemaps.parse(b"<html></html>") is None and sitemaps.parse(None) is None and sitemaps.parse(b"\x1f\x8bxx") is None
     files = spark.createDataFrame([("root", index), ("s1", gzip.compress(one)), ("s2", b"https://h.example/2\nhttps://h.example/3\n")], "url string, body binary")
     got = {r.url[-1]: r.sitemap for r in sitemaps.listed(files, spark.createDataFrame([("root",)], "url string")).collect()}
@@ -88,7 +90,7 @@ def test_normalize(raw, base, want):
 def test_functions(spark):
     assert text.fnv1a64(b"ab") == 620445648566982762
     assert [int(x) for x in text.fnv1a64_many([b"ab", b"", b"abc"])] == [text.fnv1a64(b) for b in (b"ab", b"", b"abc")]
-    assert text.simhash64([]) == 0 and text.rewrite_kind("/a/x-1", "/a/x") == "removed:-#" and text.rewrite_kind("/blog/some", "/blogs/blog/some") is not None
+    assert text.simhash64([]) == 0
     assert text.pixel_width("ii", 20) < text.pixel_width("WW", 20)
     row = spark.createDataFrame([("/p?x={}",)], "t string").select(
         urls.without_tracking(F.lit("https://h.example/p?gclid=1&b=2#f")).alias("a"), urls.is_tracking_copy(F.lit("https://h.example/p?utm_x=1")).alias("b"),
