@@ -1,42 +1,50 @@
-"""Template residue and error-page text, found by positive-unlabelled naive Bayes.
-
-Fields are cut into passages at title separators; a passage's features are its
-words, neighbouring words, edges and shapes (code marks, status codes, empty
-stand-ins). Trusted passages, recognised by the fixed patterns below, are the
-positives; all others are unlabelled. Expectation-maximization counts every
-distinct passage of the corpus with its present probability, so forms that no
-pattern names are learned from the company they keep, and trusted words that
-also occur in real content lose their weight. Features are hashed into
-``BUCKETS`` counters; these are all that reaches the driver.
-
-A record's field is a case if its whole text scores above the threshold, or if
-a passage of it does that is code or stands beside nothing but names.
+r"""Template residue and error-page text, found by positive-unlabelled naive Bayes.
+
+A field is cut into passages: at title separators, and where markup begins and
+ends. Passages that many fields share are names (of sites, as a rule). The
+units of the model are a field's core, all but its names, and each passage that
+stands beside other content. A unit's features are its words, neighbouring
+words with the edges, numbers by their length, signs, and identifiers by their
+shape; of a passage beside content also that it stands there.
+
+The positives are trusted units, recognised by the fixed patterns below; all
+others are unlabelled. Expectation-maximization counts every unit with its
+present probability and estimates the share of positives; it ends when that
+share stands still. The patterns name the seed only, no feature and no decision
+uses them: forms that no pattern names are learned from the company they keep.
+Features are hashed into ``BUCKETS`` counters, which are all that reaches the
+driver. A field is a case if its core
+or a passage in it has more than even odds.
+
+Features are made by built-in expressions; counting and scoring are numpy over
+whole Arrow batches.
 
 Defined results. Null, empty and blank fields are no cases. Repeated texts have
-equal scores. Texts of any length are read whole. An empty table gives no rows.
+equal scores and count once in the model. Texts of any length are read whole.
+An empty table gives no rows; without a trusted unit there are no cases.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditmill.session import cut
 
 BUCKETS = 1 << 20
-ROUNDS = 6
-PRIOR = 0.05
-# Added to every feature's rate among positives and among others, so that learning is alike at every size.
-SMOOTHING = (8e-5, 2.5e-6)
-# How far an unlabelled passage may count as positive while the model is learned.
-TRUST = 0.05
+# The most rounds; rounds end earlier once the share of positives changes by less than one in ``STILL``.
+ROUNDS, STILL = 10, 500
+# How many fields a passage must be in to be a name.
+NAME = 20
+# How many times as many fields a name is in as the rarest passage beside it.
+NAMED = 8
+# Strength of the prior of a feature's odds, in units: rare features say little.
+PRIOR_UNITS = 2.0
 
 # What a template's slot is called.
 SLOT = (
@@ -45,228 +53,199 @@ SLOT = (
     r"title|titel|titre|t[ií]tulo|headline|heading|header|h1|name|sitename|text|content|copy|caption|label|description|tagline|slogan|"
     r"überschrift|firmenname|produktname|nom|nombre|encabezado|texte|texto|inhalt|here|goes)"
 )
-MARKED = re.compile(
-    r"\{\{|\}\}|\{%|%\}|<%|%>|\$\{|#\{|\[\[|\]\]|%%[\w.: -]+%%|##[\w.: -]+##|@@[\w.: -]+@@|__[\w.: -]+__"
-    r"|\$[A-Za-z][\w.:]*\$|%[A-Za-z][\w.:]*[._:]?\w*%|<\?php|&(?:lt|gt);%"
-    r"|\{[A-Za-z]\w*[_.:][\w.:]+\}|\[[A-Za-z]\w*[_.:][\w.:]+\]|<[A-Za-z]\w*[_.:][\w.:]+>"
-    rf"|[\[{{<](?:{SLOT}[ _-]?)+[\]}}>]",
-    re.I,
-)
-STANDIN = re.compile(
-    r"[(\[<]?(?:null|undefined|nan|none|nil|n/a|void|\[?object object\]?|array|object|string|false|true)[)\]>]?(?: (?:null|undefined|nan|none|nil))*"
-    r"|#(?:ref|value|name\?|n/a|div/0|null|num)!?|\(?(?:no|missing|empty|unknown) (?:title|heading|headline|name|text)\)?",
-    re.I,
+_FILLER = (
+    "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|dolore|magna|aliqua|enim|minim|veniam|quis|nostrud|"
+    "exercitation|ullamco|laboris|nisi|aliquip|commodo|consequat|duis|aute|irure|reprehenderit|voluptate|velit|esse|cillum|fugiat|nulla|pariatur|"
+    "excepteur|sint|occaecat|cupidatat|proident|sunt|culpa|officia|deserunt|mollit|anim|laborum|ut|et"
 )
-FILLER_WORDS = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud "
-    "exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur "
-    "excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum ut et"
-).split()
-TRUSTED = re.compile(
-    r"(?:"
-    # errors
-    r"(?:(?:http|error|fehler|erreur|status|code|http status|http error)[ :#-]*)?[45]\d\d(?:[ :–—-]+(?:page |seite |file )?(?:not found|nicht gefunden|introuvable|forbidden|verboten|interdit|no encontrad[ao]|no existe|unauthorized|bad gateway|gateway time-?out|service unavailable|internal server error|server error|too many requests|bad request|gone).{0,20})?"
-    r"|(?:the |this |sorry,? (?:the|this) )?(?:page|seite|url|file|document)(?: you (?:requested|are looking for|were looking for))? (?:was |is |could |can ?not |can't |does |no longer )?(?:not |be )*(?:found|exists?|available|nicht gefunden)(?: anymore)?"
-    r"|(?:oops|sorry|uh oh|whoops)[,! ]+.{0,20}(?:page|find|wrong|exist|error).{0,30}"
-    r"|(?:la )?p(?:age|ágina) (?:introuvable|non trouvée|no encontrada|no existe)|diese seite (?:existiert nicht|wurde nicht gefunden).{0,10}"
-    r"|(?:an? )?(?:unexpected |internal |unknown |fatal )?(?:server )?error (?:has )?occurr?ed.{0,20}|es ist ein fehler aufgetreten|une erreur (?:est survenue|s'est produite)|(?:se ha producido|ha ocurrido) un error|error (?:interno )?del servidor"
-    r"|something went wrong|etwas ist schief ?gelaufen|internal server error|bad gateway|(?:503 )?service (?:temporarily )?unavailable|gateway time-?out|too many requests.{0,24}"
-    r"|access (?:is )?denied|zugriff verweigert|accès (?:refusé|interdit)|acceso denegado|error establishing a (?:database connection|connection to the database)|uncaught (?:exception|error).{0,30}|fatal error.{0,30}"
-    # scripts and browsers
-    r"|.{0,40}(?:javascript|\bjs\b|cookies).{0,20}(?:enable|enabled|disabled|required|activ|aktiv|turn|benötigt|requis|necesari|habilit).{0,40}"
-    r"|.{0,30}(?:enable|activate|turn on|activer|activez|aktivieren|active|habilite|benötigt|requires?|needs?|without) (?:your )?(?:javascript|js\b|scripts?\b|scripting|cookies).{0,40}"
-    r"|(?:just a moment|one moment|please wait)?[, ]*(?:checking|verifying) (?:your|the) browser.{0,30}|are you (?:a )?(?:human|robot)\??|your browser (?:must|is not|does not|doesn't).{0,40}"
-    # prompts and filler
-    rf"|(?:insert|enter|add|type|put|write|replace|edit|saisissez|entrez|escriba|introduzca|hier|ajoutez)(?: (?:this|the|a|your|you|votre|su|aquí|ihren?|here|hier|ici))* (?:{SLOT}[ -]?)+(?:here|hier|ici|aquí|einfügen|eingeben|to edit|goes here)?"
-    rf"|(?:your|ihr|votre|su) (?:{SLOT}[ -]?)+(?:here|goes here|hier)?|to ?do:? .{{0,12}}(?:{SLOT}[ -]?)+|(?:{SLOT}[ -]?)+(?:tbd|tba|todo|pending|missing)|\((?:{SLOT}[ -]?)+ ?missing\)|x{{2,}} (?:{SLOT}[ -]?)+x{{2,}}|copy of template.{{0,30}}"
-    r"|untitled(?: (?:document|page|post))?(?: ?\(?\d*\)?)|new page(?: \(?\d+\)?)?|(?:this is )?(?:a )?(?:placeholder|dummy|sample|filler)(?: (?:text|copy|title|content|heading))+(?: .{0,20})?|blindtext(?: blindtext)*|texte? de (?:remplissage|relleno)|texto de relleno"
-    r"|(?:blah ?)+|(?:(?:asdf|qwerty|test|xxx|abc|foo|bar) ?){2,}|(?:template|liquid|render(?:ing)?) error.{0,40}|(?:translation missing|missing translation).{0,40}"
-    r")",
-    re.I,
-)
-SPLIT = re.compile(r"\s+[|–—·•»/-]\s+|\s*[|·•»]\s*|(?<=\w): (?=\S)")
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]", re.U)
-CODE = re.compile(r"\{+[^{}]*\}+|<%.*?%>|\[+[^\[\]]*\]+|<[^<>]*>|\S+")
+# The seed. What only programs write is trusted in any passage.
+MACHINE: dict[str, str] = {
+    "braces": r"\{\{|\}\}|\{%|%\}|\{[a-z]\w*[_.:][\w.:]+\}",
+    "dollars": r"\$\{|#\{|\$[a-z][\w.:]*[_.:][\w.:]*\$",
+    "tags": r"<%|%>|<\?php|&(?:lt|gt);%|<[a-z]\w*[_.:][\w.:]+>",
+    "brackets": r"\[\[|\]\]|\[[a-z]\w*[_.:][\w.:]+\]",
+    "doubled": r"%%[\w.: -]+%%|##[\w.: -]+##|@@[\w.: -]+@@|__[\w.: -]+__|%[a-z][\w.:]*[_.:]\w+%",
+    "slots": rf"[\[{{<](?:{SLOT}[ _-]?)+[\]}}>]",
+    "standins": r"^[(\[<]?(?:null|undefined|nan|none|nil|n/a|void|\[?object object\]?|array|object|false|true)[)\]>]?(?: (?:null|undefined|nan|none|nil))*$|^#(?:ref|value|name\?|n/a|div/0|null|num)!?$",
+    "renderer": r"^(?:template|liquid|render(?:ing)?) error\b.*|^(?:translation missing|missing translation)\b.*",
+}
+# The seed. What people write as well is trusted only where it is all a field says.
+HUMAN: dict[str, str] = {
+    "status": r"(?:(?:http|error|fehler|erreur|status|code|http status|http error)[ :#-]*)?[45]\d\d(?:[ :–—-]+(?:page |seite |file )?(?:not found|nicht gefunden|introuvable|forbidden|verboten|interdit|no encontrad[ao]|no existe|unauthorized|bad gateway|gateway time-?out|service unavailable|internal server error|server error|too many requests|bad request|gone).{0,20})?",
+    "missing": r"(?:(?:the |this |sorry,? (?:the|this) )?(?:page|seite|url|file|document)(?: you (?:requested|are looking for|were looking for))? (?:was |is |could |can ?not |can't |does |no longer )?(?:not |be )*(?:found|exists?|available|nicht gefunden)(?: anymore)?|(?:la )?p(?:age|ágina) (?:introuvable|non trouvée|no encontrada|no existe)|diese seite (?:existiert nicht|wurde nicht gefunden).{0,10}|(?:oops|sorry|uh oh|whoops)[,! ]+.{0,20}(?:page|find|wrong|exist|error).{0,30}|nothing (?:to see |was )?(?:here|found)(?: any ?more| yet)?)",
+    "server": r"(?:(?:this|the|our) (?:site|server|service|page|shop|store) is (?:temporarily |currently |not )*(?:down|offline|unavailable|available|closed).{0,20}|(?:an? )?(?:unexpected |internal |unknown |fatal )?(?:server )?error (?:has )?occurr?ed.{0,20}|es ist ein fehler aufgetreten|une erreur (?:est survenue|s'est produite)|(?:se ha producido|ha ocurrido) un error|error (?:interno )?del servidor|something went wrong|etwas ist schief ?gelaufen|internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|too many requests.{0,24}|error establishing a (?:database connection|connection to the database)|uncaught (?:exception|error).{0,30}|fatal error.{0,30})",
+    "denied": r"access (?:is )?denied|zugriff verweigert|accès (?:refusé|interdit)|acceso denegado",
+    "scripts": r"(?:(?:java)?scripts? (?:is|are) (?:switched |turned )?(?:off|disabled).{0,30}|.{0,40}(?:javascript|\bjs\b|cookies).{0,20}(?:enable|enabled|disabled|required|activ|aktiv|turn|benötigt|requis|necesari|habilit).{0,40}|.{0,30}(?:enable|activate|turn on|activer|activez|aktivieren|active|habilite|benötigt|requires?|needs?|without) (?:your )?(?:javascript|js\b|scripts?\b|scripting|cookies).{0,40})",
+    "browsers": r"(?:(?:just a moment|one moment|please wait)?[, ]*(?:checking|verifying) (?:your|the) browser.{0,30}|are you (?:a )?(?:human|robot)\??|your browser (?:must|is not|does not|doesn't).{0,40})",
+    "prompts": rf"(?:insert|enter|add|type|put|write|replace|edit|saisissez|entrez|escriba|introduzca|hier|ajoutez)(?: (?:this|the|a|your|you|votre|su|aquí|ihren?|here|hier|ici))* (?:{SLOT}[ -]?)+(?:here|hier|ici|aquí|einfügen|eingeben|to edit|goes here)?",
+    "slot words": rf"(?:(?:your|ihr|votre|su) (?:{SLOT}[ -]?)+(?:here|goes here|hier)?|to ?do:? .{{0,12}}(?:{SLOT}[ -]?)+|(?:{SLOT}[ -]?)+(?:tbd|tba|todo|pending|missing)|\((?:{SLOT}[ -]?)+ ?missing\)|x{{2,}} (?:{SLOT}[ -]?)+x{{2,}}|\(?(?:no|missing|empty|unknown) (?:title|heading|headline|name|text)\)?)",
+    "untitled": r"(?:copy of template.{0,30}|untitled(?: (?:document|page|post))?(?: ?\(?\d*\)?)|new page(?: \(?\d+\)?)?)",
+    "filler": rf"(?:(?:{_FILLER})[ ,.]*){{3,}}|(?:this is )?(?:a )?(?:placeholder|dummy|sample|filler)(?: (?:text|copy|title|content|heading))+(?: .{{0,20}})?|blindtext(?: blindtext)*|texte? de (?:remplissage|relleno)|texto de relleno|(?:blah ?)+",
+    "mashed": r"(?:(?:asdf|qwerty|test|xxx|abc|foo|bar) ?){2,}[0-9]*",
+}
+FAMILIES = (*MACHINE, *HUMAN)
+
+# Markup: brackets around more than plain words, and words that hold signs prose doesn't.
+MARKUP = r"(?:[{\[<]+[^{}\[\]<>]*[^\p{L}\s{}\[\]<>-][^{}\[\]<>]*[}\]>]+|[{\[<]{2,}[^{}\[\]<>]*[}\]>]*|[^\s]*(?:[$%#@_\\^~=]|[{\[<]{2}|[}\]>]{2})[^\s]*)+"
+SEPARATOR = r"\s+[|–—·•»/-]\s+|\s*[|·•»]\s*|(?<=\w): (?=\S)"
+TOKEN = r"\p{L}[\p{L}\p{N}]*(?:[._:][\p{L}\p{N}]+)+|[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*|\p{L}+(?:['’-]\p{L}+)*|[^\p{L}\p{N}\s]+"
 EDGES = " \t\n.!?…,;"
 
 
-def passages(text: str) -> list[str]:
-    """The parts of a title between its separators, as far as there are several."""
-    code = [m[0] for m in CODE.finditer(text) if MARKED.search(m[0])]
-    if code:
-        return [text, *code]
-    parts = [p.strip() for p in SPLIT.split(text)]
-    parts = [p for p in parts if p]
-    return parts if len(parts) > 1 else [text.strip()]
-
-
-def trusted(text: str) -> bool:
-    """Whether a passage is surely residue, by the patterns above."""
-    t = " ".join(text.split()).strip(EDGES)
-    if not t:
-        return False
-    if MARKED.search(t) or STANDIN.fullmatch(t) or TRUSTED.fullmatch(t):
-        return True
-    words = [w.lower() for w in re.findall(r"[^\W\d_]+", t)]
-    return len(words) > 2 and sum(w in _FILLER for w in words) >= 0.8 * len(words)
-
-
-_FILLER = frozenset(FILLER_WORDS)
-
-
-def shapes(text: str) -> list[str]:
-    """What kind of thing a passage is, apart from its words."""
-    out = ["=code"] if MARKED.search(text) else []
-    t = " ".join(text.split()).strip(EDGES)
-    words = [w.lower() for w in re.findall(r"[^\W\d_]+", t)]
-    if len(words) > 2 and sum(w in _FILLER for w in words) >= 0.7 * len(words):
-        out.append("=filler")
-    if len(words) > 1 and len({w.lower() for w in t.split() if not w.isdigit()}) == 1:
-        out.append("=repeated")
-    out.append(f"=words{min(len(words), 8)}")
-    return out
-
-
-def features(text: str) -> list[str]:
-    """Words, pairs of neighbours with the edges, and shapes; each once.
-
-    Words of a question that more text follows are words of their own.
-    """
-    if STANDIN.fullmatch(" ".join(text.split()).strip(EDGES)):
-        return ["=standin"]
-    words: list[str] = []
-    clauses = text.lower().strip(EDGES + "?").split("?")
-    for i, clause in enumerate(clauses):
-        asked = "?" * (i < len(clauses) - 1)
-        for w in WORD.findall(clause):
-            if w.isdigit():
-                words.append("#status" if len(w) == 3 and w[0] in "45" else "#")
-            elif w[0].isalpha():
-                words.append(w + asked)
-            elif w in "|–—·":
-                words.append("|")
-    while words and words[-1] == "|":
-        words.pop()
-    pairs = [f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"], strict=True)]
-    return list(dict.fromkeys([w for w in words if w != "|"] + pairs + shapes(text)))
-
-
-def _ids(text: str) -> np.ndarray:
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(f) & (BUCKETS - 1) for f in features(text)), np.int32))
-
-
-def _prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"text": pdf["text"], "ids": [_ids(t) for t in pdf["text"]], "known": [trusted(t) for t in pdf["text"]]})
-
-
-def _scores(ids: Sequence[np.ndarray], weight: np.ndarray, bias: float) -> np.ndarray:
-    size = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-    if not size.sum():
-        return np.full(len(ids), bias)
-    flat = weight[np.concatenate(list(ids))]
-    total = np.zeros(len(ids))
-    np.add.at(total, np.repeat(np.arange(len(ids)), size), flat)
-    return total + bias
-
-
-def _expect(weight: np.ndarray | None, bias: float):
-    """Counts per feature bucket, positive and other, under the present model."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pos, neg = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-        for pdf in batches:
-            known, ids = pdf["known"].to_numpy(), pdf["ids"].to_list()
-            if weight is None:
-                p = np.where(known, 1.0, 0.0)
-            else:
-                p = np.where(known, 1.0, TRUST / (1 + np.exp(-np.clip(_scores(ids, weight, bias), -30, 30))))
-            size = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-            if size.sum():
-                flat = np.concatenate(ids)
-                pos[:-1] += np.bincount(flat, np.repeat(p, size), BUCKETS)
-                neg[:-1] += np.bincount(flat, np.repeat(1 - p, size), BUCKETS)
-            pos[-1] += p.sum()
-            neg[-1] += (1 - p).sum()
-        at = np.flatnonzero(pos + neg)
-        yield pd.DataFrame({"bucket": at, "pos": pos[at], "neg": neg[at]})
-
-    return run
+def passages(text: Column) -> Column:
+    """The passages of a text in lower case: markup by itself, prose between separators."""
+    t = F.lower(F.trim(F.regexp_replace(text, r"(?U)[\s\x00\x01]+", " ")))
+    pieces = F.split(F.regexp_replace(t, MARKUP, "\x01$0\x01"), "\x01")
+    cells = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(F.split(p, SEPARATOR)))
+    parts = F.transform(F.flatten(cells), lambda p: F.trim(p))
+    return F.filter(parts, lambda p: p.rlike(r"[\p{L}\p{N}]"))
+
+
+def _bare(unit: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(unit, r"^[\s.!?…,;]+", ""), r"[\s.!?…,;]+$", "")
+
+
+def trusted(unit: Column, beside: Column, families: Sequence[str] = FAMILIES) -> Column:
+    """Whether a unit is surely residue, by the patterns of some families."""
+    bare = _bare(unit)
+    machine = [p for k, p in MACHINE.items() if k in families]
+    human = [p for k, p in HUMAN.items() if k in families]
+    said = bare.rlike("|".join(machine)) if machine else F.lit(False)
+    alone = bare.rlike(f"^(?:{'|'.join(human)})$") if human else F.lit(False)
+    return said | (alone & ~beside)
+
+
+def features(unit: Column, beside: Column) -> Column:
+    """The hashed features of a unit, each once."""
+    # a sign that touches a number ($5, <3, (404) is another than one before letters
+    told = F.regexp_replace(_bare(unit), r"([^\p{L}\p{N}\s])(?=\p{N})", "$1\x02")
+    tokens = F.regexp_extract_all(told, F.lit(f"({TOKEN})"), 1)
+
+    def shape(t: Column) -> Column:
+        digits = F.concat(F.lit("#"), F.least(F.length(t), F.lit(5)).cast("string"), F.when(F.length(t) == 3, F.substring(t, 1, 1)).otherwise(""))
+        return (
+            F.when(t.rlike("^[0-9]+$"), digits)
+            .when(t.rlike(r"^\p{L}[\p{L}\p{N}]*[._:]"), F.lit("<id>"))
+            .when(t.rlike(r"\p{N}"), F.lit("#x"))
+            .otherwise(F.substring(t, 1, 24))
+        )
+
+    shapes = F.transform(tokens, shape)
+    pieces = F.flatten(F.transform(F.filter(tokens, lambda t: t.rlike(r"^\p{L}[\p{L}\p{N}]*[._:]")), lambda t: F.array_append(F.split(t, "[._:]"), t)))
+    pairs = F.transform(
+        F.arrays_zip(F.array_prepend(shapes, "^").alias("a"), F.array_append(shapes, "$").alias("b")), lambda z: F.concat(z["a"], F.lit(" "), z["b"])
+    )
+    words = F.concat(shapes, pieces)
+    whole = F.array(F.concat(F.lit("=words"), F.least(F.size(shapes), F.lit(8)).cast("string")), F.when((F.size(shapes) > 1) & (F.size(F.array_distinct(shapes)) == 1), F.lit("=same")).otherwise("=mixed"))
+    there = F.when(beside, F.array_append(F.transform(F.concat(words, pairs), lambda w: F.concat(w, F.lit(" @"))), "=beside")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(words, pairs, whole, there), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+
+
+def units(texts: DataFrame, families: Sequence[str] = FAMILIES, name: int = NAME) -> DataFrame:
+    """(text, ids, known): the core and the passages beside content of every text in ``texts`` (text, distinct)."""
+    parts = texts.select("text", F.posexplode(passages(F.col("text"))).alias("pos", "part"))
+    shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("fields")).filter(F.col("fields") >= name)
+    met = parts.join(shared, "part", "left").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("pos", "part", F.coalesce("fields", F.lit(1)).alias("fields")))).alias("parts"))
+    rarest = F.array_min(F.transform("parts", lambda p: p["fields"]))
+    own = F.filter("parts", lambda p: (p["fields"] < name) | (p["fields"] < NAMED * rarest))
+    core = F.array_join(F.transform(own, lambda p: p["part"]), " - ")
+    inner = F.filter("parts", lambda p: F.size(F.array_remove(own, p)) > 0)
+    rows = F.concat(F.array(F.struct(core.alias("unit"), F.lit(False).alias("beside"))), F.transform(inner, lambda p: F.struct(p["part"].alias("unit"), F.lit(True).alias("beside"))))
+    flat = met.select("text", F.inline(rows))
+    return flat.select("text", features(F.col("unit"), F.col("beside")).alias("ids"), trusted(F.col("unit"), F.col("beside"), families).alias("known"))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch one after the other, and how many each row has."""
+    ids = batch.column(batch.schema.get_field_index("ids"))
+    offsets = ids.offsets.to_numpy()
+    return ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
 
 
 class Model:
     """Log odds per feature bucket. At most ``BUCKETS`` numbers, whatever the corpus."""
 
-    def __init__(self, weight: np.ndarray, bias: float):
-        self.weight, self.bias = weight, bias
+    def __init__(self, weight: np.ndarray, share: float):
+        self.weight, self.share = weight.astype(np.float32), share
+        self.bias = math.log(share / (1 - share)) if 0 < share < 1 else -math.inf
+
+    def scores(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(self.weight[flat], dtype=np.float64)])
+        end = np.cumsum(size)
+        return total[end] - total[end - size] + self.bias
+
+
+def _expect(model: Model | None):
+    """Units and positives per feature bucket under the present model; bucket -1 is all units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, pos, rows, found = np.zeros(BUCKETS), np.zeros(BUCKETS), 0, 0.0
+        for b in batches:
+            flat, size = _flat(b)
+            known = b.column(b.schema.get_field_index("known")).to_numpy(zero_copy_only=False).astype(bool)
+            p = known.astype(float)
+            if model is not None and len(known):
+                p = (known | (model.scores(flat, size) > 0)).astype(float)
+            n += np.bincount(flat, minlength=BUCKETS)
+            pos += np.bincount(flat, np.repeat(p, size), BUCKETS)
+            rows, found = rows + len(known), found + p.sum()
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(n[at], rows), pa.float64()), pa.array(np.append(pos[at], found), pa.float64())], ["bucket", "n", "pos"]
+        )
 
-    def scores(self, texts: Sequence[str]) -> np.ndarray:
-        return _scores([_ids(t) for t in texts], self.weight, self.bias)
+    return run
 
 
-def _maximize(counted: pd.DataFrame) -> tuple[np.ndarray, float]:
-    pos, neg = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    pos[counted["bucket"]], neg[counted["bucket"]] = counted["pos"], counted["neg"]
-    n_pos, n_neg = pos[-1], neg[-1]
-    rate_pos = pos[:-1] / max(n_pos, 1e-9) + SMOOTHING[0]
-    rate_neg = neg[:-1] / max(n_neg, 1e-9) + SMOOTHING[1]
-    weight = np.where(pos[:-1] + neg[:-1] > 0, np.log(rate_pos / rate_neg), 0.0)
-    return weight.astype(np.float32), math.log(PRIOR / (1 - PRIOR))
+def _maximize(counted) -> Model:
+    """Odds of every feature, drawn towards those of all units by ``PRIOR_UNITS`` of them."""
+    total = counted[counted["bucket"] == -1]
+    rows, found = float(total["n"].sum()), float(total["pos"].sum())
+    weight = np.zeros(BUCKETS)
+    share = found / rows if rows else 0.0
+    if 0 < share < 1:
+        f = counted[counted["bucket"] >= 0]
+        pos, neg = f["pos"].to_numpy(), (f["n"] - f["pos"]).to_numpy()
+        weight[f["bucket"].to_numpy()] = np.log((pos + PRIOR_UNITS * share) / (np.maximum(neg, 0) + PRIOR_UNITS * (1 - share)) * (1 - share) / share)
+    return Model(weight, share)
 
 
-def learn(texts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """A model of ``texts`` (text), each distinct one counted once."""
-    distinct = texts.filter(F.col("text").rlike(r"\S")).select("text").distinct()
-    ready = cut(distinct.mapInPandas(_prepare, "text string, ids array<int>, known boolean")).select("ids", "known")
-    weight, bias = None, 0.0
+def learn(ready: DataFrame, rounds: int = ROUNDS) -> Model:
+    """A model of units (ids, known) after the seed and at most ``rounds`` rounds of expectation and maximization."""
+    model, share = None, -1.0
     for _ in range(rounds + 1):
-        parts = ready.mapInPandas(_expect(weight, bias), "bucket int, pos double, neg double")
-        counted = parts.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
-        weight, bias = _maximize(counted)
-    return Model(weight, bias)
-
-
-def decide(text: str, whole: float, parts: dict[str, float]) -> float:
-    """A field's score from those of the whole and of its passages, if it has several."""
-    best = whole
-    for p, s in parts.items():
-        rest = [r for r in parts if r != p]
-        alone = MARKED.search(p) or STANDIN.fullmatch(p.strip(EDGES))
-        if s > 0 and (alone or len(rest) == 1 and _name_like(rest[0]) or all(parts[r] > 0 for r in rest)):
-            best = max(best, s)
-    return best
-
-
-def _name_like(text: str) -> bool:
-    """One or two capitalised words, as sites are called."""
-    words = text.strip(EDGES).split()
-    return 0 < len(words) <= 2 and all(w[0].isupper() or text.islower() for w in words) and not any(ch.isdigit() for ch in text)
+        parts = ready.select("ids", "known").mapInArrow(_expect(model), "bucket int, n double, pos double")
+        counted = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).toPandas()
+        model = _maximize(counted)
+        if abs(model.share - share) * STILL < max(share, 0):
+            break
+        share = model.share
+    return model
 
 
 def _score_batches(model: Model):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].to_list()
-            whole = model.scores(texts) if texts else np.zeros(0)
-            parts = [p if len(p) > 1 else [] for p in map(passages, texts)]
-            flat = [p for ps in parts for p in ps]
-            each = iter(model.scores(flat) if flat else [])
-            out = [decide(t, w, {p: float(next(each)) for p in ps}) for t, w, ps in zip(texts, whole, parts, strict=True)]
-            yield pdf[["text"]].assign(score=out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, size = _flat(b)
+            score = model.scores(flat, size) if b.num_rows else np.zeros(0)
+            found = np.flatnonzero(score > 0)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("text")).take(pa.array(found)), pa.array(score[found])], ["text", "score"])
 
     return run
 
 
-def scored(fields: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(text, score) of every distinct text in ``fields``; above 0 is residue."""
-    texts = cut(fields.filter(F.col("text").rlike(r"\S")).select("text").distinct())
-    model = learn(texts, rounds)
-    return texts.mapInPandas(_score_batches(model), "text string, score double")
+def scored(fields: DataFrame, rounds: int = ROUNDS, families: Sequence[str] = FAMILIES) -> DataFrame:
+    """(text, score) of every distinct text in ``fields`` that is residue; the score is the log odds of its worst unit."""
+    texts = fields.filter(F.col("text").rlike(r"\S")).select("text").distinct()
+    ready = cut(units(texts, families))
+    model = learn(ready, rounds)
+    bad = ready.select("text", "ids").mapInArrow(_score_batches(model), "text string, score double")
+    return bad.groupBy("text").agg(F.max("score").alias("score"))
 
 
-def residue(fields: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def residue(fields: DataFrame, rounds: int = ROUNDS, families: Sequence[str] = FAMILIES) -> DataFrame:
     """The rows of ``fields`` (keys and text) whose text is residue, with its score."""
     from auditmill.operators.skew import balanced_join
 
-    bad = cut(scored(fields, rounds).filter("score > 0"))
+    bad = cut(scored(fields, rounds, families))
     return balanced_join(fields.filter(F.col("text").isNotNull()), bad, ["text"])
