@@ -103,7 +103,13 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return moderation.rates(_moderated(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p3_found, p3_collapsed, p6_found, p6_clean, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+def p10_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """How well the scores order and match judged sentences that the model hasn't seen."""
+    n, auc, error = moderation.held_out(moderation.judged(table(spark, d, "moderation_samples")))
+    return spark.createDataFrame([(n, auc, error)], "sentences long, area_under_curve double, calibration_error double")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p3_found, p3_collapsed, p6_found, p6_clean, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates, p10_calibration)}
 
 _SAME = """
         WITH r AS (SELECT export_id, list_transform([json_extract_string(payload, '$.title'), json_extract_string(payload, '$.metaDescription'), json_extract_string(payload, '$.h1')],
