@@ -30,11 +30,24 @@ from auditmill.operators.skew import balanced_join
 from auditmill.session import cut
 
 
+def _parsed(df: DataFrame, id_col: str, payload: str, fields: Sequence[str]) -> DataFrame:
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in (*fields, "__unreadable")])
+    return df.select(F.col(id_col).alias("id"), F.from_json(payload, schema, {"columnNameOfCorruptRecord": "__unreadable"}).alias("p"))
+
+
 def from_payload(df: DataFrame, id_col: str, payload: str, fields: Sequence[str]) -> DataFrame:
-    """(id, f0, f1, ...) of JSON objects; layout and order of the object don't matter."""
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    parsed = df.select(F.col(id_col).alias("id"), F.from_json(payload, schema).alias("p"))
-    return parsed.select("id", *[F.col("p").getField(f).alias(f"f{i}") for i, f in enumerate(fields)])
+    """(id, f0, f1, ...) of JSON objects; layout and order of the object don't matter.
+
+    The last field is the whole text of a payload that is no object and null for
+    others, so unreadable records equal only such that say the same.
+    """
+    parsed = _parsed(df, id_col, payload, fields)
+    return parsed.select("id", *[F.col("p").getField(f).alias(f"f{i}") for i, f in enumerate((*fields, "__unreadable"))])
+
+
+def unreadable(df: DataFrame, id_col: str, payload: str, fields: Sequence[str]) -> DataFrame:
+    """The ids of payloads that are no JSON objects."""
+    return _parsed(df, id_col, payload, fields).filter(F.col("p").getField("__unreadable").isNotNull()).select("id")
 
 
 def _hash_batches(n: int, with_fields: bool):

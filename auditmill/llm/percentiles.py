@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 0.0005
+ACCURACY = 0.005
 
 
 def _gamma(accuracy: float) -> float:
@@ -96,6 +96,8 @@ def above(df: DataFrame, keys: Sequence[str], values: Sequence[str], pcts: Seque
     open_ = found.filter(F.col("bucket") == edge).select(*group, "pct", "values")
     cells = F.array(*[F.struct(F.lit(v).alias("field_name"), F.col(v).cast("double").alias("value")) for v in values])
     inside = df.select(*keys, F.inline(cells)).filter(usable(F.col("value")) & (F.col("value") <= limit))
+    same_group = reduce(lambda a, b: a & b, [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in group])
+    inside = inside.alias("i").join(open_.select(*group).distinct().alias("o"), same_group, "left_semi")
     upto = inside.groupBy(*group).agg(F.count(F.lit(1)).alias("upto"))
     same = reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"u.{k}")) for k in group])
     checked = open_.alias("o").join(upto.alias("u"), same, "left").filter(F.coalesce("u.upto", F.lit(0)) * 100.0 < F.col("o.values") * F.col("o.pct"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditmill.llm import format_duplicates, mixing, moderation, packing, percentiles, residue
-from auditmill.session import table
+from auditmill.session import cut, table
 
 TIMINGS = ("response_ms", "ttfb_ms")
 PCTS = (50, 90, 99)
@@ -23,10 +23,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per host, from one sketch per day added up."""
+    """Percentiles per host, from stored sketches of days, those of weekends and of other days added up."""
     urls = table(spark, d, "urls").select("host", F.to_date("crawled_at").alias("day"), *TIMINGS)
-    days = percentiles.sketch(urls, ["host", "day"], TIMINGS, usable=_timing)
-    return percentiles.percentiles(percentiles.merge([days], ["host"]), ["host"], PCTS).select("host", "field_name", "pct", "estimate", "values")
+    days = cut(percentiles.sketch(urls, ["host", "day"], TIMINGS, usable=_timing))
+    weekend = F.dayofweek("day").isin(1, 7)
+    parts = [days.filter(weekend), days.filter(~F.coalesce(weekend, F.lit(False)))]
+    return percentiles.percentiles(percentiles.merge(parts, ["host"]), ["host"], PCTS).select("host", "field_name", "pct", "estimate", "values")
 
 
 def _exports(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +44,11 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return format_duplicates.collapsed(_exports(spark, d))
 
 
+def p3_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    """Exports whose payload is no JSON object."""
+    return format_duplicates.unreadable(table(spark, d, "page_exports"), "export_id", "payload", ["title", "metaDescription", "h1"])
+
+
 def _page_texts(spark: SparkSession, d: str) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in ("title", "h1")])
     return table(spark, d, "page_records").select("url_id", F.inline(cells))
@@ -77,8 +84,6 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares really reached."""
-    from auditmill.session import cut
-
     targets = table(spark, d, "mix_targets")
     texts = cut(mixing.unique_texts(table(spark, d, "documents"), targets=targets))
     chosen, by_source = mixing.mix(texts, targets)
@@ -109,7 +114,7 @@ def p10_calibration(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, auc, error)], "sentences long, area_under_curve double, calibration_error double")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p3_found, p3_collapsed, p6_found, p6_clean, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates, p10_calibration)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_percentiles, p3_found, p3_collapsed, p3_unreadable, p6_found, p6_clean, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates, p10_calibration)}
 
 _SAME = """
         WITH r AS (SELECT export_id, list_transform([json_extract_string(payload, '$.title'), json_extract_string(payload, '$.metaDescription'), json_extract_string(payload, '$.h1')],
@@ -123,6 +128,7 @@ ORACLES = {
         SELECT host, field_name, CAST(pct AS INT) AS pct FROM n, (VALUES (50), (90), (99)) p(pct) WHERE upto * 100 < n * pct""",
     "p3_found": _SAME + """
         SELECT kept_id, export_id AS copy_id FROM (SELECT export_id, min(export_id) OVER (PARTITION BY f) AS kept_id FROM r) WHERE export_id <> kept_id""",
+    "p3_unreadable": "SELECT export_id AS id FROM page_exports WHERE payload IS NOT NULL AND NOT (json_valid(payload) AND json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT')",
     "p3_collapsed": _SAME + """
         SELECT min(export_id) AS kept_id, count(*) - 1 AS copies FROM r GROUP BY f""",
 }

@@ -59,9 +59,10 @@ def test_copies_equal_brute_force(spark):
     for i, p, *_ in rows:
         try:
             o = json.loads(p or "{}")
+            broken = ""
         except ValueError:
-            o = {}
-        groups.setdefault(tuple(canonical(o.get(k)) for k in ("title", "metaDescription", "h1")), []).append(i)
+            o, broken = {}, p
+        groups.setdefault((*[canonical(o.get(k)) for k in ("title", "metaDescription", "h1")], broken), []).append(i)
     want = {(min(g), i) for g in groups.values() for i in g if i != min(g)}
     got = [tuple(r) for r in D.copies(records).collect()]
     assert set(got) == want and len(got) == len(want)
@@ -84,3 +85,11 @@ def test_collisions_are_told_apart(spark, monkeypatch):
 def test_empty(spark):
     records = D.from_payload(spark.createDataFrame([], SHAPE), "export_id", "payload", ["title", "metaDescription", "h1"])
     assert D.copies(records).count() == 0 and D.collapsed(records).count() == 0
+
+
+def test_unreadable_payloads_stay_apart(spark):
+    rows = [(1, '{"title": "A"}'), (2, "broken {"), (3, "other <html>"), (4, "Broken"), (5, '{"title": null}'), (6, None), (7, "{}")]
+    df = spark.createDataFrame(rows, "export_id long, payload string")
+    records = D.from_payload(df, "export_id", "payload", ["title"])
+    assert {(r.kept_id, r.copy_id) for r in D.copies(records).collect()} == {(2, 4), (5, 6), (5, 7)}
+    assert {r.id for r in D.unreadable(df, "export_id", "payload", ["title"]).collect()} == {2, 3, 4}
