@@ -19,16 +19,22 @@ suffix ``_right``.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditmill.session import parallelism
 
+# While this is true, Spark moves placed rows again, by all keys of a join. A placed join sets it to false for its session.
+PLACED_JOINS = "spark.sql.requireAllClusterKeysForCoPartition"
+
 
 @dataclass(frozen=True)
 class LoadPlan:
@@ -117,35 +123,61 @@ def fragment(df: DataFrame, plan: LoadPlan) -> DataFrame:
 
 
 def replicate(df: DataFrame, plan: LoadPlan) -> DataFrame:
-    """``df`` with ``__slot``; a row of a heavy key once for every shard of that key."""
+    """``df`` with ``__task`` and ``__slot``; a row of a heavy key once for every shard of that key."""
     df = df.withColumn("__h", key_hash(plan.keys))
     if not plan.heavy:
-        return df.withColumn("__slot", F.lit(0)).drop("__h")
-    df = df.join(F.broadcast(_heavy_frame(df, plan)), "__h", "left")
-    slots = F.when(F.col("__tasks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size("__tasks") - 1))
-    return df.withColumn("__slot", F.explode(slots)).drop("__h", "__tasks")
+        return df.withColumn("__task", _light_task(plan)).withColumn("__slot", F.lit(0)).drop("__h")
+    df = df.join(F.broadcast(_heavy_frame(df, plan)), "__h", "left").withColumn("__tasks", F.coalesce("__tasks", F.array(_light_task(plan))))
+    return df.select("*", F.posexplode("__tasks").alias("__slot", "__task")).drop("__h", "__tasks")
+
+
+def _places(spark: SparkSession, tasks: int) -> Column:
+    """For every task a number that Spark's hash partitioning sends there."""
+    tried = spark.range(int(tasks * (math.log(tasks + 1) + 20))).select(F.col("id").cast("int").alias("place"))
+    found = tried.groupBy(F.pmod(F.hash("place"), F.lit(tasks)).alias("task")).agg(F.min("place").alias("place")).collect()
+    at = {r.task: r.place for r in found}
+    return F.split(F.lit(",".join(str(at[t]) for t in range(tasks))), ",").cast("array<int>")
+
+
+def placed(df: DataFrame, plan: LoadPlan, place: str = "__place") -> DataFrame:
+    """Rows with ``__task`` in the partition of that number.
+
+    The partitioning is by hash of the column ``place``, which a join on it and more
+    keys accepts as it is: where both sides are placed, neither moves again.
+    """
+    at = F.element_at(_places(df.sparkSession, plan.tasks), F.col("__task") + 1)
+    return df.withColumn(place, at).drop("__task").repartition(plan.tasks, place)
+
+
+def _is_small(df: DataFrame) -> bool:
+    """Whether the optimizer knows ``df`` to be small enough to be sent to all tasks."""
+    spark = df.sparkSession
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
 
 
 def balanced_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", plan: LoadPlan | None = None) -> DataFrame:
     """Join on ``keys`` (null equals null) without a task that gets a whole heavy key.
 
     ``how`` is inner, left, left_semi or left_anti: each left row is in exactly
-    one shard, so these give what the plain join gives.
+    one shard, so these give what the plain join gives. ``left`` should be a
+    scan or a cut. A right side of a known small size goes to all tasks instead.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a fragmented left side can't be joined as {how}")
-    plan = plan or plan_load(left, keys)
     taken = {c.lower() for c in left.columns}
     names = [c for c in right.columns if c not in keys]
     fresh = {c: f"{c}_right" if c.lower() in taken else c for c in names}
-    r = replicate(right, plan).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__slot").alias("__s"), *[F.col(c).alias(n) for c, n in fresh.items()]
-    )
-    a = fragment(left, plan).drop("__task")
-    same = F.col("__slot") == F.col("__s")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    out = a.join(r, same, how)
+    renamed = [*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(n) for c, n in fresh.items()]]
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    if plan is None and _is_small(right):
+        out = left.join(F.broadcast(right.select(*renamed)), same, how)
+    else:
+        plan = plan or plan_load(left, keys)
+        left.sparkSession.conf.set(PLACED_JOINS, "false")
+        r = placed(replicate(right, plan).select(*renamed, F.col("__slot").alias("__s"), "__task"), plan, "__p")
+        a = placed(fragment(left, plan), plan)
+        out = a.join(r.hint("merge"), (F.col("__place") == F.col("__p")) & (F.col("__slot") == F.col("__s")) & same, how)
     return out.select(*left.columns, *([] if how in ("left_semi", "left_anti") else fresh.values()))
 
 

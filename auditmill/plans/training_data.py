@@ -9,7 +9,7 @@ from auditmill.operators.hierarchy import descendants, paths, trees
 from auditmill.operators.packed import FieldRule, learn_dialects, split_values
 from auditmill.operators.skew import balanced_count, balanced_join
 from auditmill.operators.snapshots import snapshot_changes
-from auditmill.session import table
+from auditmill.session import cut, table
 
 PACKED_RULES = {"x_robots_tag": FieldRule(blank_separates=True), "meta_robots": FieldRule(blank_separates=True), "availability": FieldRule()}
 LARGE_SHARE = 0.02
@@ -74,7 +74,7 @@ def p7_target_profile(spark: SparkSession, d: str) -> DataFrame:
     """Per target its host and how many links it gets, from its own host and from others."""
     links = table(spark, d, "links").select("source_id", "target_id")
     hosts = table(spark, d, "urls").select("id", "host").unionByName(table(spark, d, "hub_urls").select("id", "host"))
-    at_target = balanced_join(links, hosts.select(F.col("id").alias("target_id"), F.col("host").alias("target_host")), ["target_id"])
+    at_target = cut(balanced_join(links, hosts.select(F.col("id").alias("target_id"), F.col("host").alias("target_host")), ["target_id"]))
     both = balanced_join(at_target, hosts.select(F.col("id").alias("source_id"), F.col("host").alias("source_host")), ["source_id"], "left")
     return both.groupBy("target_id", "target_host").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("source_host") == F.col("target_host")).alias("own_host_links"))
 

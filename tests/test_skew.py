@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditmill.operators.skew import balanced_count, balanced_join, plan_load
 
@@ -26,11 +27,13 @@ def test_load_is_even_and_heavy_keys_are_split(spark):
     assert max(plan.load) < 1.3 * sum(plan.load) / len(plan.load)
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_joins_equal_brute_force(spark, how):
+@pytest.mark.parametrize("how,tasks", [("inner", 8), ("left", 8), ("left_semi", 5), ("left_anti", 8), ("inner", None), ("left_anti", None)])
+def test_joins_equal_brute_force(spark, how, tasks):
     rows = skewed(800)
     right = [(1, "a"), (1, "b"), (None, "c"), (5, "d"), (5, "d"), (7, None)]
-    got = balanced_join(spark.createDataFrame(rows, "k int, v string"), spark.createDataFrame(right, "k int, v string"), ["k"], how)
+    left = spark.createDataFrame(rows, "k int, v string")
+    plan = plan_load(left, ["k"], tasks) if tasks else None
+    got = balanced_join(left, spark.createDataFrame(right, "k int, v string"), ["k"], how, plan)
     want = []
     for k, v in rows:
         met = [b for a, b in right if a == k]
@@ -44,6 +47,23 @@ def test_joins_equal_brute_force(spark, how):
     assert got.columns == (["k", "v", "v_right"] if how in ("inner", "left") else ["k", "v"])
 
 
+def test_a_join_runs_where_the_rows_were_packed(spark):
+    """Eight tasks, a heavy key: rows are moved once per side, and the longest task is near the median."""
+    rows = spark.createDataFrame(skewed(8000), "k int, v string")
+    dim = spark.createDataFrame([(k, f"n{k}") for k in range(300)], "k int, w string")
+    plan = plan_load(rows, ["k"], tasks=8)
+    assert plan.heavy
+    joined = balanced_join(rows, dim, ["k"], "left", plan)
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in text
+    per_task = Counter(r[0] for r in joined.select(F.spark_partition_id()).collect())
+    loads = sorted(per_task.get(t, 0) for t in range(8))
+    assert sum(loads) == 8000 and loads[-1] <= 1.5 * (loads[3] + loads[4]) / 2
+    plain = rows.join(dim.hint("merge"), "k", "left").repartition(8, "k")
+    worst = max(Counter(r[0] for r in plain.select(F.spark_partition_id()).collect()).values())
+    assert worst > 2 * loads[-1]
+
+
 def test_one_group_of_equal_rows_and_empty_tables(spark):
     same = spark.createDataFrame([(9, "x")] * 500, "k int, v string")
     dim = spark.createDataFrame([(9, "one")], "k int, w string")
