@@ -38,16 +38,14 @@ def duplicates(pages: DataFrame, columns: dict[str, str]) -> DataFrame:
     ``pages`` has id and the columns. Counting comes first and is combined on
     the map side, so one value on a third of all pages is no burden.
     """
-    parts = []
-    for column, code in columns.items():
-        rows = pages.filter(F.col(column).isNotNull() & (F.col(column).cast("string") != "")).select("id", column)
-        shared = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(column)
-        parts.append(rows.join(shared, column, "left_semi").select(F.lit(code).alias("code"), F.col("id").alias("url_id")))
-    return union(parts)
+    cells = F.array(*[F.struct(F.lit(code).alias("code"), F.col(column).cast("string").alias("value"), F.col("id").alias("url_id")) for column, code in columns.items()])
+    rows = pages.select(F.inline(cells)).filter("value <> ''")
+    shared = rows.groupBy("code", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.join(shared, ["code", "value"], "left_semi").select("code", "url_id")
 
 
-def link_targets(links: DataFrame, urls: DataFrame) -> DataFrame:
-    """Pages that link to broken, redirecting or unverifiable targets."""
+def bad_targets(urls: DataFrame) -> DataFrame:
+    """(target_id, code) of crawled URLs that a page should not link to."""
     broken = measures.is_broken(F.col("status_code"), F.col("blocked_by_robots"))
     refused = measures.is_refused(F.col("status_code"))
     by_design = U.redirects_by_design(F.col("url")) | F.coalesce(U.redirects_by_design(F.col("redirect_url")), F.lit(False))
@@ -59,8 +57,20 @@ def link_targets(links: DataFrame, urls: DataFrame) -> DataFrame:
             F.when(~F.col("is_internal") & refused, "links_to_unverified_external"),
         )
     )
-    targets = urls.filter(F.col("state") == 1).select(F.col("id").alias("target_id"), F.explode(kind).alias("code"))
-    return links.filter(F.col("type") == 0).select("source_id", "target_id").join(targets, "target_id").select("code", F.col("source_id").alias("url_id")).distinct()
+    return urls.filter(F.col("state") == 1).select(F.col("id").alias("target_id"), F.explode(kind).alias("code"))
+
+
+def link_targets(links: DataFrame, urls: DataFrame) -> DataFrame:
+    """Pages that link to broken, redirecting or unverifiable targets."""
+    rows = links.filter(F.col("type") == 0).select("source_id", "target_id")
+    return rows.join(bad_targets(urls), "target_id").select("code", F.col("source_id").alias("url_id")).distinct()
+
+
+def target_fixes(links: DataFrame, urls: DataFrame) -> DataFrame:
+    """(code, id, pages, links) of bad targets that are linked; links are counted before they are joined, so a hot target is one row."""
+    pairs = links.filter(F.col("type") == 0).groupBy("target_id", "source_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = pairs.groupBy("target_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("links"))
+    return counted.join(bad_targets(urls), "target_id").select("code", F.col("target_id").alias("id"), "pages", "links")
 
 
 def inlink_counts(links: DataFrame, left_out: Sequence[int] = (4, 5)) -> DataFrame:

@@ -23,6 +23,11 @@ FNV_START, FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 WORD = re.compile(r"\S*[^\W_]\S*", re.U)
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """White space as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -232,20 +237,26 @@ def rewrite_kind(source: Column, target: Column) -> Column:
     the two joined by a character that no address holds: the longest group that
     comes back after it.
     """
-    both = F.concat(F.lower(source), F.lit("\u0000"), F.lower(target))
-    head = F.length(F.regexp_extract(both, r"(?s)^(.*)[^\x00]*\x00\1", 1))
-    rest = F.concat(F.substr(F.lower(source), head + 1), F.lit("\u0000"), F.substr(F.lower(target), head + 1))
-    kept = F.regexp_extract(rest, r"(?s)^[^\x00]*?([^\x00]*)\x00[^\x00]*\1$", 1)
-    lost = F.substring_index(rest, "\u0000", 1)
-    won = F.substring_index(rest, "\u0000", -1)
-    cut_tail = lambda t: F.substr(t, F.lit(1), F.length(t) - F.length(kept))
-    gone, new = cut_tail(lost), cut_tail(won)
     number = lambda t: F.when(t.rlike("^-?[0-9]+$"), F.when(t.startswith("-"), F.lit("-#")).otherwise(F.lit("#"))).otherwise(t)
-    within = ~F.concat(gone, new).contains("/")
-    moved = F.concat(F.lit("moved:"), cut_tail(F.lower(source)), F.lit(">"), cut_tail(F.lower(target)))
-    return (
-        F.when((gone == "") & (new == ""), F.lit(None))
-        .when(within & (new == ""), F.concat(F.lit("removed:"), number(gone)))
-        .when(within & (gone == ""), F.concat(F.lit("inserted:"), number(new)))
-        .when(kept.startswith("/") & (F.length(kept) > 2), moved)
-    )
+
+    def said(x: Column) -> Column:
+        a, b, gone, new, kept = (x[k] for k in ("a", "b", "gone", "new", "kept"))
+        within = ~F.concat(gone, new).contains("/")
+        less = lambda t: F.substr(t, F.lit(1), F.length(t) - F.length(kept))
+        return (
+            F.when((gone == "") & (new == ""), F.lit(None))
+            .when(within & (new == ""), F.concat(F.lit("removed:"), number(gone)))
+            .when(within & (gone == ""), F.concat(F.lit("inserted:"), number(new)))
+            .when(kept.startswith("/") & (F.length(kept) > 2), F.concat(F.lit("moved:"), less(a), F.lit(">"), less(b)))
+        )
+
+    def with_tail(x: Column) -> Column:
+        lost, won = F.substr(x["a"], x["head"] + 1), F.substr(x["b"], x["head"] + 1)
+        kept = F.regexp_extract(F.concat(lost, F.lit("\u0000"), won), r"(?s)^[^\x00]*?([^\x00]*)\x00[^\x00]*\1$", 1)
+        return let(F.struct(x["a"].alias("a"), x["b"].alias("b"), lost.alias("lost"), won.alias("won"), kept.alias("kept")), lambda y: let(F.struct(
+            y["a"].alias("a"), y["b"].alias("b"), F.substr(y["lost"], F.lit(1), F.length(y["lost"]) - F.length(y["kept"])).alias("gone"),
+            F.substr(y["won"], F.lit(1), F.length(y["won"]) - F.length(y["kept"])).alias("new"), y["kept"].alias("kept")), said))
+
+    a, b = F.lower(source), F.lower(target)
+    head = F.length(F.regexp_extract(F.concat(a, F.lit("\u0000"), b), r"(?s)^(.*)[^\x00]*\x00\1", 1))
+    return let(F.struct(a.alias("a"), b.alias("b"), head.alias("head")), with_tail)

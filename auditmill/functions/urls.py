@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from auditmill.functions.text import let
+
 # Query parameters that only say where a click came from; utm_* too.
 TRACKING = (
     "gclid", "gclsrc", "gbraid", "wbraid", "dclid", "msclkid", "fbclid", "srsltid",
@@ -146,18 +148,24 @@ def image_file(url: Column, origin: str = "") -> Column:
     named = F.lower(F.element_at(F.split(bare, r"\."), -1)).isin(*IMAGE_EXTENSIONS) & bare.contains(".")
     file = F.when(named, bare).otherwise(url)
     file = F.coalesce(F.concat(F.lit(origin), shop_file(file)), file)
-    ending = F.regexp_extract(file, r"\.[A-Za-z0-9]+$", 0)
-    stem = F.substr(file, F.lit(1), F.length(file) - F.length(ending))
-    sharp = F.regexp_replace(stem, "@[0-9]x$", "")
-    words = F.split(sharp, "_")
-    last = lambda i: F.coalesce(F.get(words, F.size(words) - i), F.lit(""))
-    cropped = (last(2) == "crop") & last(1).isin(*IMAGE_CROPS)
-    size = F.when(cropped, last(3)).otherwise(last(1))
-    measured = (F.translate(size, "0123456789", "") == "x") & (size != "x")
-    kept = F.size(words) - F.when(cropped, 3).otherwise(1)
-    sized = (measured | size.isin(*IMAGE_SIZES)) & (kept > 0) & (ending != "")
-    plain = F.concat(F.array_join(F.slice(words, 1, F.greatest(kept, F.lit(0))), "_"), ending)
-    return F.when((file.contains("/cdn/shop/") | file.contains("cdn.shopify.com/")) & sized, plain).otherwise(file)
+
+    def unsized(f: Column) -> Column:
+        ending = F.regexp_extract(f, r"\.[A-Za-z0-9]+$", 0)
+        words = F.split(F.regexp_replace(F.substr(f, F.lit(1), F.length(f) - F.length(ending)), "@[0-9]x$", ""), "_")
+        return let(F.struct(f.alias("file"), ending.alias("ending"), words.alias("words")), parts)
+
+    def parts(x: Column) -> Column:
+        words, ending = x["words"], x["ending"]
+        last = lambda i: F.coalesce(F.get(words, F.size(words) - i), F.lit(""))
+        cropped = (last(2) == "crop") & last(1).isin(*IMAGE_CROPS)
+        size = F.when(cropped, last(3)).otherwise(last(1))
+        measured = (F.translate(size, "0123456789", "") == "x") & (size != "x")
+        kept = F.size(words) - F.when(cropped, 3).otherwise(1)
+        sized = (measured | size.isin(*IMAGE_SIZES)) & (kept > 0) & (ending != "")
+        plain = F.concat(F.array_join(F.slice(words, 1, F.greatest(kept, F.lit(0))), "_"), ending)
+        return F.when((x["file"].contains("/cdn/shop/") | x["file"].contains("cdn.shopify.com/")) & sized, plain).otherwise(x["file"])
+
+    return let(file, unsized)
 
 
 def pagination_base(url: Column) -> Column:
@@ -200,18 +208,22 @@ def readable(url: Column, most: int = 80) -> Column:
     p = decoded(path(url))
     q = query(F.coalesce(without_tracking(url), url))
     whole = F.concat(site, F.when(p == "/", F.lit("")).otherwise(p), F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
-    steps = F.reverse(F.filter(F.split(p, "/"), lambda x: x != ""))
-    room = most - F.length(site) - 3
-    start = F.struct(F.lit("").alias("tail"), F.lit(True).alias("open"))
-
-    def longer(acc: Column, step: Column) -> Column:
-        tail = F.when(acc["tail"] == "", step).otherwise(F.concat(step, F.lit("/"), acc["tail"]))
-        fits = acc["open"] & ((acc["tail"] == "") | (F.length(tail) <= room))
-        return F.struct(F.when(fits, tail).otherwise(acc["tail"]).alias("tail"), fits.alias("open"))
-
-    short = F.concat(site, F.lit("/…/"), F.aggregate(steps, start, longer)["tail"])
-    cut_short = F.when(F.length(short) > most, F.concat(F.rtrim(F.substring(short, 1, most - 1)), F.lit("…"))).otherwise(short)
-    return F.when(origin(url) == "", url).when(F.length(whole) <= most, whole).otherwise(cut_short)
+
+    def shown(x: Column) -> Column:
+        steps = F.reverse(F.filter(F.split(x["path"], "/"), lambda t: t != ""))
+        room = most - F.length(x["site"]) - 3
+        start = F.struct(F.lit("").alias("tail"), F.lit(True).alias("open"))
+
+        def longer(acc: Column, step: Column) -> Column:
+            tail = F.when(acc["tail"] == "", step).otherwise(F.concat(step, F.lit("/"), acc["tail"]))
+            fits = acc["open"] & ((acc["tail"] == "") | (F.length(tail) <= room))
+            return F.struct(F.when(fits, tail).otherwise(acc["tail"]).alias("tail"), fits.alias("open"))
+
+        short = F.concat(x["site"], F.lit("/…/"), F.aggregate(steps, start, longer)["tail"])
+        cut_short = let(short, lambda t: F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t))
+        return F.when(F.length(x["whole"]) <= most, x["whole"]).otherwise(cut_short)
+
+    return F.when(origin(url) == "", url).otherwise(let(F.struct(site.alias("site"), p.alias("path"), whole.alias("whole")), shown))
 
 
 UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")

@@ -33,3 +33,17 @@ def issue_changes(old: DataFrame, new: DataFrame, old_urls: DataFrame, new_urls:
     appeared = b.join(a, ["code", "url"], "left_anti").select("code", "url", F.lit("new").alias("kind"))
     fixed = a.join(b, ["code", "url"], "left_anti").select("code", "url", F.lit("fixed").alias("kind"))
     return appeared.unionByName(fixed)
+
+
+def headline(added: int, removed: int, new_issues: int, fixed_issues: int) -> str:
+    """A comparison in a line, without what didn't happen."""
+    some = lambda n, one, many: f"{n:,} new {one if n == 1 else many}" if n > 0 else ""
+    parts = [some(added, "URL", "URLs"), f"{removed:,} gone" if removed > 0 else "", some(new_issues, "issue", "issues"), f"{fixed_issues:,} fixed" if fixed_issues > 0 else ""]
+    return ", ".join(p for p in parts if p) or "No changes"
+
+
+def summary(changes: DataFrame, issues: DataFrame) -> DataFrame:
+    """(added, removed, changed_<field>..., new_issues, fixed_issues) as one row of exact counts."""
+    fields = F.when(F.col("kind") == "changed", F.concat(F.lit("changed_"), F.col("field"))).otherwise(F.col("kind"))
+    counted = changes.select(fields.alias("what")).unionByName(issues.select(F.concat("kind", F.lit("_issues")).alias("what")))
+    return counted.groupBy("what").agg(F.count(F.lit(1)).alias("n"))

@@ -22,14 +22,14 @@ def filters() -> dict[str, Column]:
     c, internal, crawled = F.col, F.col("is_internal"), F.col("state") == 1
     return {
         "all": F.lit(True),
-        "internal_all": internal,
+        "internal_all": internal & crawled,
         "internal_html": internal & crawled & (c("resource_type") == 0),
-        "external": ~internal,
-        "images": c("resource_type") == 1,
-        "css_and_javascript": c("resource_type").isin(2, 3),
-        "not_crawled": c("state") == 2,
+        "external": ~internal & crawled,
+        "images": crawled & (c("resource_type") == 1),
+        "css_and_javascript": crawled & c("resource_type").isin(2, 3),
+        "not_crawled": ~crawled,
         "no_response": crawled & c("status_code").isNull(),
-        **{f"status_{n}xx": c("status_code").between(n * 100, n * 100 + 99) for n in (2, 3, 4, 5)},
+        **{f"status_{n}xx": crawled & c("status_code").between(n * 100, n * 100 + 99) for n in (2, 3, 4, 5)},
     }
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from auditmill.plans import graph_and_stream, site_audit, training_data
+from auditmill.plans import graph_and_stream, reports, site_audit, training_data
 
-_MODULES = [training_data, site_audit, graph_and_stream]
+_MODULES = [training_data, site_audit, graph_and_stream, reports]
 
 
 def queries() -> dict:

@@ -75,8 +75,9 @@ def gr2_redirect_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH RECURSIVE e AS (SELECT DISTINCT source_id, target_id FROM links WHERE type = 0),
-    w AS (SELECT id, 0 AS depth FROM hub_urls UNION SELECT e.target_id, w.depth + 1 FROM w JOIN e ON e.source_id = w.id WHERE w.depth < 12)
-    SELECT id, min(depth) AS depth FROM w GROUP BY id""")
+    w(id, depth) USING KEY (id) AS (SELECT id, 0 AS depth FROM hub_urls UNION
+        SELECT e.target_id, min(w.depth) + 1 FROM w JOIN e ON e.source_id = w.id WHERE NOT EXISTS (SELECT 1 FROM recurring.w AS r WHERE r.id = e.target_id) GROUP BY e.target_id)
+    SELECT id, depth FROM w""")
 def gr3_crawl_depth(spark: SparkSession, d: str) -> DataFrame:
     """Clicks from the shared template pages, breadth first."""
     edges = table(spark, d, "links").filter("type = 0").select("source_id", "target_id")

@@ -247,8 +247,8 @@ def ag11_place_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FILTERS_SQL = {
-    "all": "true", "internal_all": "is_internal", "internal_html": "is_internal AND state = 1 AND resource_type = 0", "external": "NOT is_internal", "images": "resource_type = 1", "css_and_javascript": "resource_type IN (2, 3)",
-    "not_crawled": "state = 2", "no_response": "state = 1 AND status_code IS NULL", **{f"status_{n}xx": f"status_code BETWEEN {n}00 AND {n}99" for n in (2, 3, 4, 5)},
+    "all": "true", "internal_all": "is_internal AND state = 1", "internal_html": "is_internal AND state = 1 AND resource_type = 0", "external": "NOT is_internal AND state = 1", "images": "resource_type = 1 AND state = 1", "css_and_javascript": "resource_type IN (2, 3) AND state = 1",
+    "not_crawled": "state <> 1", "no_response": "state = 1 AND status_code IS NULL", **{f"status_{n}xx": f"state = 1 AND status_code BETWEEN {n}00 AND {n}99" for n in (2, 3, 4, 5)},
 }
 
 
