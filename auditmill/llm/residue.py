@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditmill.functions.text import let
 from auditmill.session import cut
 
 BUCKETS = 1 << 20
@@ -94,7 +95,7 @@ EDGES = " \t\n.!?…,;"
 
 def passages(text: Column) -> Column:
     """The passages of a text in lower case: markup by itself, prose between separators."""
-    t = F.lower(F.trim(F.regexp_replace(text, r"(?U)[\s\x00\x01]+", " ")))
+    t = F.lower(F.trim(F.regexp_replace(text, r"[\s\x00\x01\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " ")))
     pieces = F.split(F.regexp_replace(t, MARKUP, "\x01$0\x01"), "\x01")
     cells = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(F.split(p, SEPARATOR)))
     parts = F.transform(F.flatten(cells), lambda p: F.trim(p))
@@ -102,7 +103,7 @@ def passages(text: Column) -> Column:
 
 
 def _bare(unit: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(unit, r"^[\s.!?…,;]+", ""), r"[\s.!?…,;]+$", "")
+    return F.trim(unit, F.lit(EDGES))
 
 
 def trusted(unit: Column, beside: Column, families: Sequence[str] = FAMILIES) -> Column:
@@ -130,26 +131,32 @@ def features(unit: Column, beside: Column) -> Column:
             .otherwise(F.substring(t, 1, 24))
         )
 
-    shapes = F.transform(tokens, shape)
-    pieces = F.flatten(F.transform(F.filter(tokens, lambda t: t.rlike(r"^\p{L}[\p{L}\p{N}]*[._:]")), lambda t: F.array_append(F.split(t, "[._:]"), t)))
-    pairs = F.transform(
-        F.arrays_zip(F.array_prepend(shapes, "^").alias("a"), F.array_append(shapes, "$").alias("b")), lambda z: F.concat(z["a"], F.lit(" "), z["b"])
-    )
-    words = F.concat(shapes, pieces)
-    whole = F.array(F.concat(F.lit("=words"), F.least(F.size(shapes), F.lit(8)).cast("string")), F.when((F.size(shapes) > 1) & (F.size(F.array_distinct(shapes)) == 1), F.lit("=same")).otherwise("=mixed"))
-    there = F.when(beside, F.array_append(F.transform(F.concat(words, pairs), lambda w: F.concat(w, F.lit(" @"))), "=beside")).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.transform(F.concat(words, pairs, whole, there), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    identifier = r"^\p{L}[\p{L}\p{N}]*[._:]"
+
+    def words(t: Column) -> Column:
+        pieces = F.flatten(F.transform(F.filter(t, lambda w: w.rlike(identifier)), lambda w: F.array_append(F.split(w, "[._:]"), w)))
+        return let(F.transform(t, shape), lambda shapes: let(F.struct(shapes.alias("shapes"), F.size(shapes).alias("n"), F.concat(shapes, pieces).alias("words")), named))
+
+    def named(x: Column) -> Column:
+        shapes, n = x["shapes"], x["n"]
+        pairs = F.zip_with(F.array_prepend(shapes, "^"), F.array_append(shapes, "$"), lambda a, b: F.concat(a, F.lit(" "), b))
+        same = F.when((n > 1) & (F.size(F.array_distinct(shapes)) == 1), F.lit("=same")).otherwise("=mixed")
+        whole = F.array(F.concat(F.lit("=words"), F.least(n, F.lit(8)).cast("string")), same)
+        return let(F.concat(x["words"], pairs), lambda w: F.concat(w, whole, F.when(beside, F.array_append(F.transform(w, lambda v: F.concat(v, F.lit(" @"))), "=beside")).otherwise(F.array().cast("array<string>"))))
+
+    hashed = F.transform(let(tokens, words), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return F.array_distinct(hashed)
 
 
 def units(texts: DataFrame, families: Sequence[str] = FAMILIES, name: int = NAME) -> DataFrame:
     """(text, ids, known): the core and the passages beside content of every text in ``texts`` (text, distinct)."""
-    parts = texts.select("text", F.posexplode(passages(F.col("text"))).alias("pos", "part"))
+    parts = cut(texts.select("text", F.posexplode(passages(F.col("text"))).alias("pos", "part")))
     shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("fields")).filter(F.col("fields") >= name)
     met = parts.join(shared, "part", "left").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("pos", "part", F.coalesce("fields", F.lit(1)).alias("fields")))).alias("parts"))
-    rarest = F.array_min(F.transform("parts", lambda p: p["fields"]))
-    own = F.filter("parts", lambda p: (p["fields"] < name) | (p["fields"] < NAMED * rarest))
-    core = F.array_join(F.transform(own, lambda p: p["part"]), " - ")
-    inner = F.filter("parts", lambda p: F.size(F.array_remove(own, p)) > 0)
+    met = met.withColumn("rarest", F.array_min(F.transform("parts", lambda p: p["fields"])))
+    met = met.withColumn("own", F.filter("parts", lambda p: (p["fields"] < name) | (p["fields"] < NAMED * F.col("rarest"))))
+    core = F.array_join(F.transform("own", lambda p: p["part"]), " - ")
+    inner = F.filter("parts", lambda p: F.size(F.array_remove(F.col("own"), p)) > 0)
     rows = F.concat(F.array(F.struct(core.alias("unit"), F.lit(False).alias("beside"))), F.transform(inner, lambda p: F.struct(p["part"].alias("unit"), F.lit(True).alias("beside"))))
     flat = met.select("text", F.inline(rows))
     return flat.select("text", features(F.col("unit"), F.col("beside")).alias("ids"), trusted(F.col("unit"), F.col("beside"), families).alias("known"))
